@@ -15,6 +15,8 @@ label); an empty table gives an empty one. Only text reaches the score.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,11 +39,9 @@ class _Words(dict):
     """word -> row of its shape and embedding bucket; the commonest words stay, others are worked out anew."""
 
     def __init__(self):
-        self.shapes, self.buckets, self.hashes = [], [], []
+        self.shapes, self.buckets = [], []
 
     def __missing__(self, word: bytes):
-        import zlib
-
         n = len(word)
         upper = sum(65 <= c <= 90 for c in word)
         symbols = sum(c in _SYMBOLS for c in word)
@@ -211,6 +211,17 @@ def training_rows(documents: DataFrame, labels: DataFrame, per_class: int = PER_
     return [bytes(r["text"]) for r in found], [r["quality"] for r in found]
 
 
+def _scores(model: Model, texts: list[bytes]) -> np.ndarray:
+    shape, bucket, first, size, per_text = passages(texts)
+    cuts, word, out, lo = np.concatenate([[0], np.cumsum(per_text)]), np.concatenate([first, [len(bucket)]]), [], 0
+    while lo < len(texts):  # as many documents at once as have 4,096 passages, one at least
+        hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + 4096, side="right")) - 1)
+        a, b = cuts[lo], cuts[hi]
+        out.append(model.score(bags(bucket[word[a] : word[b]], size[a:b]), shape[a:b], cuts[lo:hi] - a))
+        lo = hi
+    return np.concatenate(out).astype(float) if out else np.zeros(0)
+
+
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """documents' columns with score added as a last column named ``score``; clashing names are the caller's to avoid."""
     weights = model.weights
@@ -222,18 +233,8 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
-                texts = [(t or "").encode() if not isinstance(t, bytes) else t for t in part.column("text").to_pylist()]
-                shape, bucket, first, size, per_text = passages(texts)
-                scores = []
-                cuts = np.concatenate([[0], np.cumsum(per_text)])
-                word = np.concatenate([first, [len(bucket)]])
-                lo_doc = 0
-                while lo_doc < len(texts):  # as many documents as have 4,096 passages, one at least
-                    hi = max(lo_doc + 1, int(np.searchsorted(cuts, cuts[lo_doc] + 4096, side="right")) - 1)
-                    a, b = cuts[lo_doc], cuts[hi]
-                    scores.append(own.score(bags(bucket[word[a] : word[b]], size[a:b]), shape[a:b], cuts[lo_doc:hi] - a))
-                    lo_doc = hi
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(scores).astype(float))], names=[*part.schema.names, "score"])
+                scores = _scores(own, [t if isinstance(t, bytes) else (t or "").encode() for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*part.schema.names, "score"])
 
     return documents.mapInArrow(run, spec)
 
@@ -247,3 +248,18 @@ def op6_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = classifier(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score(documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(documents).alias("text")), model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def accepted(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of documents that score threshold or more, with their own columns only."""
+    weights = model.weights
+
+    def run(batches):
+        own = Model(weights)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
+                scores = _scores(own, [(t or "").encode() for t in part.column("text").to_pylist()])
+                yield part.filter(pa.array(scores >= threshold))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -182,5 +182,35 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
     return docs.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
 
 
+def representatives(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """documents without near copies: of each component the row with the least doc_id (a null one comes last), and of
+    rows with one doc_id and one fingerprint a single one. All columns stay as they are."""
+    found, _ = stage(near_duplicates(documents, radius, shingle).select("doc_id", "component_id", "fp"), "near-duplicates")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
+    rows = found.groupBy("component_id", "doc_id", "fp").agg(F.count(F.lit(1)).alias("n"))
+    kept, _ = stage(rows.groupBy("component_id").agg(F.min(first).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.fp").alias("_fp")), "representatives")
+    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    same = F.col("_id").eqNullSafe(documents["doc_id"].cast("long"))
+    if not repeated.take(1):
+        return documents.join(kept, same, "left_semi")
+    repeated, _ = stage(repeated, "repeated-ids")
+    often = F.col("doc_id").eqNullSafe(F.col("_id"))
+    once = documents.join(kept.join(repeated, often, "left_anti"), same, "left_semi")
+    # Rows that share their doc_id are told apart by their fingerprints; few, unless ids are bad throughout.
+    unclear = documents.join(kept.join(repeated, often, "left_semi"), same, "left_semi")
+    names = documents.columns
+
+    def printed(batches):
+        for batch in batches:
+            prints = [fingerprint((t or "").encode(), shingle) for t in batch.column("text").to_pylist()]
+            yield batch.append_column("_fp", pa.array(np.array(prints, np.uint64).view(np.int64)))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields) + ", _fp long"
+    told = unclear.mapInArrow(printed, schema).withColumn("_own", F.col("doc_id").cast("long"))
+    named = kept.withColumnsRenamed({"_id": "_kid", "_fp": "_kfp"})
+    told = told.join(named, F.col("_own").eqNullSafe(F.col("_kid")) & (F.col("_fp") == F.col("_kfp")), "left_semi")
+    return once.union(told.dropDuplicates(["_own", "_fp"]).select(*names))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("fp")
