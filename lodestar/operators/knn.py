@@ -32,6 +32,7 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     sign = -1.0 if metric in ("cosine", "inner") else 1.0
     own, n = _blocks(corpus, "vec_id", "embedding", block)
     asked, m = _blocks(queries, "qid", "qvec", block)
+    asked = asked.select(F.col("id").alias("qid"), F.col("v").alias("qv"), "b")
     own = own.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     asked = asked.withColumnRenamed("b", "qb").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
@@ -39,8 +40,8 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
         schema = pa.schema([("qid", pa.int64()), ("vec_id", pa.int64()), ("key", pa.float64())])
         if not left.num_rows or not right.num_rows or not k:
             return schema.empty_table()
-        ids, qids = left.column("id").to_numpy(), right.column("id").to_numpy()
-        x, q = (np.array(t.column("v").to_pylist(), float) for t in (left, right))
+        ids, qids = left.column("id").to_numpy(), right.column("qid").to_numpy()
+        x, q = np.array(left.column("v").to_pylist(), float), np.array(right.column("qv").to_pylist(), float)
         order = np.argsort(ids, kind="stable")
         ids, x, out = ids[order], x[order], []
         for lo in range(0, len(q), 256):
@@ -75,14 +76,14 @@ def knn_edges(embeddings: DataFrame, k: int = 10, metric: str = "cosine", block:
 def pairs(embeddings: DataFrame, block: int = 1024) -> DataFrame:
     """i, j, d2: squared distances of all ordered pairs i <> j, by blocks; for the dense operators of a bounded set."""
     left, n = _blocks(embeddings, "vec_id", "embedding", block)
-    right = left.withColumnRenamed("b", "c").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    right = left.select(F.col("id").alias("other"), F.col("v").alias("u"), F.col("b").alias("c")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     left = left.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
     def apart(a, b):
         if not a.num_rows or not b.num_rows:
             return pa.schema([("i", pa.int64()), ("j", pa.int64()), ("d2", pa.float64())]).empty_table()
-        i, j = a.column("id").to_numpy(), b.column("id").to_numpy()
-        x, y = (np.array(t.column("v").to_pylist(), float) for t in (a, b))
+        i, j = a.column("id").to_numpy(), b.column("other").to_numpy()
+        x, y = np.array(a.column("v").to_pylist(), float), np.array(b.column("u").to_pylist(), float)
         d2 = np.stack([((y - p) ** 2).sum(axis=1) for p in x])
         keep = i[:, None] != j[None, :]
         return pa.table({"i": np.repeat(i, len(j))[keep.ravel()], "j": np.tile(j, len(i))[keep.ravel()], "d2": d2.ravel()[keep.ravel()]})
