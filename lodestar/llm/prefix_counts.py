@@ -51,9 +51,7 @@ def prefix_table(documents: DataFrame, vocabulary: str | None = None) -> DataFra
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts = part.column("text").to_pylist()
-                number, sizes = encoder.numbers(texts)
-                added = encoder.starts[number + 1] - encoder.starts[number]
-                encoder._forget()
+                added, sizes = encoder.chunk_counts(texts)
                 upto = np.concatenate([[0], np.cumsum(added)])  # the recurrence, over all chunks in a row
                 cut = np.concatenate([[0], np.cumsum(sizes)])
                 total = upto[cut[1:]] - upto[cut[:-1]]

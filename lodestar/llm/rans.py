@@ -206,8 +206,8 @@ def _encode(symbols: list[int], frequencies: list[int], lanes: int, step_tokens:
     def run(batches):
         _, frequency, lower = _slots(np.array(symbols, np.int64), np.array(frequencies, np.uint64))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 16):
-                rows = batch.slice(lo, 16).to_pylist()
+            for lo in range(0, batch.num_rows, 32):
+                rows = batch.slice(lo, 32).to_pylist()
                 coded = encode_blocks([np.frombuffer(r["ids"], "<u4") for r in rows], frequency, lower, lanes, step_tokens)
                 for r, (checks, payload) in zip(rows, coded):
                     r |= {"lanes": lanes, "step_tokens": step_tokens, "ids_crc32": zlib.crc32(r.pop("ids")), "payload_crc32": zlib.crc32(checks + payload), "checkpoints": checks, "payload": payload}
@@ -247,8 +247,8 @@ def read_blocks(spark: SparkSession, path: str, check: bool = True) -> DataFrame
     def run(batches):
         symbol, frequency, lower = _slots(np.array(symbols, np.int64), np.array(frequencies, np.uint64))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 16):
-                rows = batch.slice(lo, 16).to_pylist()
+            for lo in range(0, batch.num_rows, 32):
+                rows = batch.slice(lo, 32).to_pylist()
                 if check and (bad := [(r["shard"], r["block"]) for r in rows if zlib.crc32(r["checkpoints"] + r["payload"]) != r["payload_crc32"]]):
                     raise ValueError(f"damaged payload in (shard, block) {bad}")
                 groups: dict[tuple, list] = {}

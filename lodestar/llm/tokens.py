@@ -14,7 +14,8 @@ from itertools import islice
 
 import numpy as np
 
-MAX_PIECES = 400_000
+#: Entries of each table; one takes about 200 bytes.
+MAX_PIECES = 300_000
 #: str.split() also splits at these, which are no white space to the library.
 _CONTROL = re.compile("[\x1c-\x1f]")
 _SAFE = re.compile("[ \t\n\r]+")
@@ -60,6 +61,38 @@ class _Table(dict):
         return number
 
 
+class _Store:
+    """Ids of numbered pieces, one after the other: piece i has ids[starts[i]:starts[i + 1]]."""
+
+    def __init__(self, most: int):
+        self.most, self.table = most, _Table()
+        self.ids, self.starts, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), 0
+
+    def learn(self, encode) -> None:
+        """Encode the new pieces and append their ids."""
+        new, self.table.new = self.table.new, []
+        flat, lengths = [], []
+        for piece in new:
+            ids = encode(piece)
+            lengths.append(len(ids))
+            flat += ids
+        n = len(flat)
+        if self.used + n > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(self.used, n), np.uint32)])
+        self.ids[self.used : self.used + n] = flat
+        self.used += n
+        if new:
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.array(lengths, np.int64))])
+
+    def forget(self) -> None:
+        """Back to the bound: the earliest pieces, which are the commonest, stay."""
+        if len(self.table) > self.most:
+            for piece in list(islice(reversed(self.table), len(self.table) - self.most)):
+                del self.table[piece]
+            self.starts = self.starts[: self.most + 1].copy()
+            self.used = int(self.starts[-1])
+
+
 class PieceEncoder:
     """Two bounded tables: white-space separated chunks, and the letter runs, digits and symbol runs within them."""
 
@@ -71,16 +104,19 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.plain = _is_plain(self.tokenizer)
-        self.max_pieces, self.table, self.units = max_pieces, _Table(), {}
-        self.ids, self.starts, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), 0
+        self.max_pieces, self.units = max_pieces, {}
+        self.chunks, self.whole = _Store(max_pieces), _Store(max_pieces)
 
     def split(self, text: str) -> list[str]:
         return text.split() if not _CONTROL.search(text) else [p for p in _SAFE.split(text) if p]
 
+    def model_ids(self, unit: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(unit.encode().decode("latin-1").translate(_BYTES))]
+
     def unit_ids(self, unit: str) -> list[int]:
         ids = self.units.get(unit)
         if ids is None:
-            ids = [t.id for t in self.tokenizer.model.tokenize(unit.encode().decode("latin-1").translate(_BYTES))]
+            ids = self.model_ids(unit)
             if len(self.units) < self.max_pieces:
                 self.units[unit] = ids
         return ids
@@ -95,52 +131,48 @@ class PieceEncoder:
             ids += self.unit_ids(unit)
         return ids
 
-    def _learn(self) -> None:
-        """Encode the new chunks and append their ids."""
-        new, self.table.new = self.table.new, []
-        flat, lengths = [], []
-        for chunk in new:
-            ids = self.chunk_ids(chunk)
-            lengths.append(len(ids))
-            flat += ids
-        n = len(flat)
-        if self.used + n > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(self.used, n), np.uint32)])
-        self.ids[self.used : self.used + n] = flat
-        self.used += n
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.array(lengths, np.int64))])
-
-    def _forget(self) -> None:
-        """Back to the bound: the earliest chunks, which are the commonest, stay."""
-        if len(self.table) > self.max_pieces:
-            for piece in list(islice(reversed(self.table), len(self.table) - self.max_pieces)):
-                del self.table[piece]
-            self.starts = self.starts[: self.max_pieces + 1].copy()
-            self.used = int(self.starts[-1])
+    def chunk_counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of every chunk of all texts in a row, and how many chunks each text has."""
+        look, flat, sizes = self.chunks.table.__getitem__, [], []
+        for text in texts:
+            chunks = self.split(text)
+            sizes.append(len(chunks))
+            flat.extend(map(look, chunks))
+        self.chunks.learn(self.chunk_ids)
+        number = np.array(flat, np.int64)
+        counts = self.chunks.starts[number + 1] - self.chunks.starts[number]
+        self.chunks.forget()
+        return counts, np.array(sizes, np.int64)
+
+    def pieces(self, text: str) -> list:
+        """Units of a text that the units' pattern splits as the library does; else its chunks, marked as such."""
+        if self.plain and not _BEYOND.search(text):
+            return _UNITS.findall(text.lower())
+        return [(chunk,) for chunk in self.split(text)]
 
-    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Piece numbers of all texts in a row, and how many pieces each text has."""
-        look, flat, sizes = self.table.__getitem__, [], []
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row (uint32), and the number of ids of each text. Units are fewer than chunks, so
+        this has a table of its own."""
+        store, flat, sizes = self.whole, [], []
+        look = store.table.__getitem__
         for text in texts:
-            pieces = self.split(text)
+            pieces = self.pieces(text)
             sizes.append(len(pieces))
             flat.extend(map(look, pieces))
-        if self.table.new:
-            self._learn()
-        return np.array(flat, np.int64), np.array(sizes, np.int64)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row (uint32), and the number of ids of each text."""
-        number, sizes = self.numbers(texts)
-        lengths = self.starts[number + 1] - self.starts[number]
+        store.learn(self._piece_ids)
+        number = np.array(flat, np.int64)
+        first = store.starts[number]
+        lengths = store.starts[number + 1] - first
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(self.starts[number] - (ends - lengths), lengths) + np.arange(total)
-        ids = self.ids[at]
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-        self._forget()
+        ids = store.ids[np.repeat(first - (ends - lengths), lengths) + np.arange(total)]
+        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])]
+        store.forget()
         return ids, np.diff(upto)
 
+    def _piece_ids(self, piece) -> list[int]:
+        return self.chunk_ids(piece[0]) if type(piece) is tuple else self.model_ids(piece)
+
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
