@@ -15,8 +15,6 @@ label); an empty table gives an empty one. Only text reaches the score.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,77 +29,101 @@ PER_CLASS = 1500
 TRAIN_PASSAGES = 64
 THRESHOLD = 0.3
 SHAPES = 8
-MAX_WORDS = 400_000
-_SYMBOLS = frozenset(b"#*$%&|<>!@^~_={}[]\\")
-
-
-class _Words(dict):
-    """word -> row of its shape and embedding bucket; the commonest words stay, others are worked out anew."""
-
-    def __init__(self):
-        self.shapes, self.buckets = [], []
-
-    def __missing__(self, word: bytes):
-        n = len(word)
-        upper = sum(65 <= c <= 90 for c in word)
-        symbols = sum(c in _SYMBOLS for c in word)
-        digits = sum(48 <= c <= 57 for c in word)
-        letters = sum(97 <= c <= 122 or c >= 128 for c in word) + upper
-        h = zlib.crc32(word)
-        self.shapes.append((min(n, 30) / 10, upper / n, symbols / n, digits / n, float(letters == 0), float(upper > 1 and upper == letters), float(n > 20)))
-        self.buckets.append(h % BUCKETS)
-        row = self[word] = len(self)
-        return row
-
-    def arrays(self):
-        if not hasattr(self, "_cached") or len(self._cached[0]) != len(self.buckets):
-            self._cached = np.array(self.shapes, np.float32).reshape(-1, SHAPES - 1), np.array(self.buckets, np.int64)
-        return self._cached
-
-    def trim(self):
-        if len(self) > MAX_WORDS:
-            self.clear()
-            self.shapes, self.buckets = [], []
-
-
-_WORDS = _Words()
+#: Texts are laid side by side up to so many bytes, and passages looked at so many at once.
+GROUP_BYTES, BLOCK = 2 << 20, 512
+
+
+def _flags(values: bytes) -> np.ndarray:
+    out = np.zeros(256, np.uint64)
+    out[list(values)] = 1
+    return out
+
+
+_SPACE = _flags(b" \t\n\v\f\r").astype(bool)
+_UPPER, _SYMBOL, _DIGIT = _flags(bytes(range(65, 91))), _flags(b"#*$%&|<>!@^~_={}[]\\"), _flags(bytes(range(48, 58)))
+_LETTER = _UPPER + _flags(bytes([*range(97, 123), *range(128, 256)]))
+#: Two counts by byte in one number; neither outgrows its 32 bits.
+_UPPER_LETTER, _SYMBOL_DIGIT = _UPPER << np.uint64(32) | _LETTER, _SYMBOL << np.uint64(32) | _DIGIT
+_LOW32 = np.uint64(0xFFFFFFFF)
+#: A word's hash is the sum of its bytes' numbers times powers of an odd number, modulo 2**64, then mixed.
+_NUMBERS = np.random.default_rng(3).integers(1, 1 << 63, 256, np.uint64) * ~_SPACE
+_POWERS = np.multiply.accumulate(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def _word_rows(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shape, hash) of every word; buffer holds nothing but white space between them."""
+    part, at, n = buffer[starts[0] : ends[-1]], starts - starts[0], ends - starts
+    place = np.arange(len(part)) - np.repeat(at, np.diff(np.append(at, len(part))))
+    key = np.add.reduceat(_NUMBERS[part] * _POWERS[place & 0xFFFF], at)
+    key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    ul, sd = np.add.reduceat(_UPPER_LETTER[part], at), np.add.reduceat(_SYMBOL_DIGIT[part], at)
+    upper, letters, symbols, digits = ul >> np.uint64(32), ul & _LOW32, sd >> np.uint64(32), sd & _LOW32
+    columns = (np.minimum(n, 30) / 10, upper / n, symbols / n, digits / n, letters == 0, (upper > 1) & (upper == letters), n > 20)
+    return np.stack([c.astype(np.float32) for c in columns], axis=1), key
+
+
+def _group(texts: list[bytes]):
+    """passages() of texts that fit in memory side by side."""
+    buffer = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
+    space = _SPACE[buffer]
+    starts, ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
+    edges = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    upto = np.searchsorted(starts, edges, side="right")
+    upto[0], words = 0, np.diff(upto)
+    per_text = np.maximum(1, -(-words // PASSAGE))
+    within = np.arange(per_text.sum()) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+    first = np.repeat(upto[:-1], per_text) + PASSAGE * within
+    size = np.clip(np.repeat(upto[1:], per_text) - first, 0, PASSAGE)
+    shape, bucket = np.zeros((len(first), SHAPES + 1), np.float32), np.zeros(len(starts), np.uint16)
+    shape[:, SHAPES - 1] = 1.0
+    full = np.flatnonzero(size)
+    for lo in range(0, len(full), BLOCK):
+        own = full[lo : lo + BLOCK]
+        a, n = first[own[0]], size[own]
+        b = first[own[-1]] + n[-1]
+        rows, key = _word_rows(buffer, starts[a:b], ends[a:b])
+        bucket[a:b] = key >> np.uint64(64 - BUCKETS.bit_length() + 1)
+        held = np.arange(PASSAGE) < n[:, None]
+        keys = np.full(held.shape, ~np.uint64(0))
+        keys[held] = key
+        keys.sort(axis=1)
+        distinct = 1 + ((keys[:, 1:] != keys[:, :-1]) & held[:, 1:]).sum(axis=1)
+        shape[own, : SHAPES - 1] = np.add.reduceat(rows, first[own] - a, axis=0) / n[:, None]
+        shape[own, SHAPES - 1] = distinct / n
+    shape[:, SHAPES] = size / PASSAGE
+    return shape, bucket, size, per_text
+
+
+def _thinned(shape, bucket, size, per_text, most: int):
+    """At most so many passages of each text, spread evenly over it."""
+    ends = np.cumsum(per_text)
+    kept = np.concatenate([np.arange(e - n, e) if n <= most else e - n + np.arange(most) * n // most for e, n in zip(ends, per_text)])
+    keep = np.zeros(len(size), bool)
+    keep[kept] = True
+    return shape[keep], bucket[np.repeat(keep, size)], size[keep], np.minimum(per_text, most)
 
 
 def passages(texts: list[bytes], most: int | None = None):
-    """(shapes by passage, embedding buckets by word, first word of each passage, passages of each text)"""
-    look, rows, first, per_text, at, repeats = _WORDS.__getitem__, [], [], [], 0, []
-    for text in texts:
-        words = text.split()
-        starts = range(0, max(1, len(words)), PASSAGE)
-        if most and len(starts) > most:
-            starts = [starts[i * len(starts) // most] for i in range(most)]
-        for s in starts:
-            part = words[s : s + PASSAGE]
-            rows.extend(map(look, part))
-            first.append(at)
-            at += len(part)
-            repeats.append(len(set(part)) / len(part) if part else 1.0)
-        per_text.append(len(starts))
-    row = np.array(rows, np.int64)
-    shapes, buckets = _WORDS.arrays()
-    first = np.array(first, np.int64)
-    size = np.diff(np.concatenate([first, [at]]))
-    full = size > 0
-    sums = np.zeros((len(first), SHAPES - 1), np.float32)
-    if full.any():
-        sums[full] = np.add.reduceat(shapes[row], first[full], axis=0)
-    shape = np.concatenate([sums / np.maximum(size, 1)[:, None], np.array(repeats, np.float32)[:, None], np.minimum(size / PASSAGE, 1.0)[:, None].astype(np.float32)], axis=1)
-    bucket = buckets[row] if len(row) else np.zeros(0, np.int64)
-    _WORDS.trim()
-    return shape, bucket, first, size, np.array(per_text, np.int64)
+    """(shapes by passage, embedding buckets by word, words of each passage, passages of each text)"""
+    found, held, total = [], [], 0
+    for i, text in enumerate(texts):
+        held.append(text)
+        total += len(text)
+        if total >= GROUP_BYTES or i == len(texts) - 1:
+            group = _group(held)
+            found.append(_thinned(*group, most) if most else group)
+            held, total = [], 0
+    if not found:
+        return np.zeros((0, SHAPES + 1), np.float32), np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(part) for part in zip(*found))
 
 
 def bags(buckets: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Word counts by bucket of each passage, scaled so that a passage's squares sum to about one."""
     n = len(size)
-    flat = np.repeat(np.arange(n), size) * BUCKETS + buckets
+    flat = np.repeat(np.arange(n) * BUCKETS, size) + buckets
     counts = np.bincount(flat, minlength=n * BUCKETS).reshape(n, BUCKETS).astype(np.float32)
-    return np.sqrt(counts / np.maximum(size, 1)[:, None])
+    return np.sqrt(counts / np.maximum(size, 1).astype(np.float32)[:, None])
 
 
 class Model:
@@ -117,27 +139,32 @@ class Model:
         w = {k: (r.normal(size=d) / np.sqrt(d[0])).astype(np.float32) for k, d in dims.items()}
         return cls(w | {"b": np.zeros(HIDDEN, np.float32), "bias": np.zeros(1, np.float32), "mean": np.zeros(SHAPES + 1, np.float32), "scale": np.ones(SHAPES + 1, np.float32)})
 
-    def _forward(self, bag: np.ndarray, shape: np.ndarray, cut: np.ndarray):
-        """cut: first passage of each document. Documents have one passage at least."""
+    def passage(self, bag: np.ndarray, shape: np.ndarray):
+        """Input, code, both halves of the gate, and attention (before it is scaled) of each passage."""
         w = self.weights
         x = np.concatenate([bag @ w["E"], (shape - w["mean"]) / w["scale"]], axis=1)
         h = np.tanh(x @ w["W"] + w["b"])
         t, g = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-(h @ w["U"])))
-        e = (t * g) @ w["a"]
+        return x, h, t, g, (t * g) @ w["a"]
+
+    def pool(self, h: np.ndarray, e: np.ndarray, cut: np.ndarray):
+        """Document of each passage, its weight there, and code and score of each document. cut: first passage of each
+        document; documents have one passage at least."""
         doc = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(e))))
         weight = np.exp(e - np.maximum.reduceat(e, cut)[doc])
         weight /= np.add.reduceat(weight, cut)[doc]
         z = np.add.reduceat(h * weight[:, None], cut, axis=0)
-        p = 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["bias"][0], -30, 30)))
-        return x, h, t, g, doc, weight, z, p
+        return doc, weight, z, 1 / (1 + np.exp(-np.clip(z @ self.weights["c"] + self.weights["bias"][0], -30, 30)))
 
     def score(self, bag: np.ndarray, shape: np.ndarray, cut: np.ndarray) -> np.ndarray:
-        return self._forward(bag, shape, cut)[-1]
+        *_, h, _, _, e = self.passage(bag, shape)
+        return self.pool(h, e, cut)[-1]
 
     def gradients(self, bag, shape, cut, label) -> dict[str, np.ndarray]:
         """Of the mean log loss."""
         w = self.weights
-        x, h, t, g, doc, weight, z, p = self._forward(bag, shape, cut)
+        x, h, t, g, e = self.passage(bag, shape)
+        doc, weight, z, p = self.pool(h, e, cut)
         d = (p - label) / len(label)
         dz = d[:, None] * w["c"]
         dh = weight[:, None] * dz[doc]
@@ -159,7 +186,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 40, batch: int =
     if len(set(labels)) < 2:
         model.weights["c"][:] = 0
         return model
-    shape, bucket, _, size, per_text = passages(texts, TRAIN_PASSAGES)
+    shape, bucket, size, per_text = passages(texts, TRAIN_PASSAGES)
     bag = bags(bucket, size)
     model.weights["mean"], model.weights["scale"] = shape.mean(axis=0), shape.std(axis=0) + np.float32(0.02)
     ends = np.cumsum(per_text)
@@ -212,14 +239,16 @@ def training_rows(documents: DataFrame, labels: DataFrame, per_class: int = PER_
 
 
 def _scores(model: Model, texts: list[bytes]) -> np.ndarray:
-    shape, bucket, first, size, per_text = passages(texts)
-    cuts, word, out, lo = np.concatenate([[0], np.cumsum(per_text)]), np.concatenate([first, [len(bucket)]]), [], 0
-    while lo < len(texts):  # as many documents at once as have 4,096 passages, one at least
-        hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + 4096, side="right")) - 1)
-        a, b = cuts[lo], cuts[hi]
-        out.append(model.score(bags(bucket[word[a] : word[b]], size[a:b]), shape[a:b], cuts[lo:hi] - a))
-        lo = hi
-    return np.concatenate(out).astype(float) if out else np.zeros(0)
+    if not texts:
+        return np.zeros(0)
+    shape, bucket, size, per_text = passages(texts)
+    word, h, e = np.concatenate([[0], np.cumsum(size)]), [], []
+    for lo in range(0, len(size), BLOCK):
+        hi = min(lo + BLOCK, len(size))
+        _, own, _, _, attention = model.passage(bags(bucket[word[lo] : word[hi]], size[lo:hi]), shape[lo:hi])
+        h.append(own)
+        e.append(attention)
+    return model.pool(np.concatenate(h), np.concatenate(e), np.cumsum(per_text) - per_text)[-1].astype(float)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
