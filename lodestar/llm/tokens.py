@@ -93,8 +93,105 @@ class _Store:
             self.used = int(self.starts[-1])
 
 
+#: Texts are split side by side up to so many characters.
+GROUP_CHARS = 1 << 20
+_LOWER = np.array([ord(chr(c).lower()[0]) for c in range(0x181)], np.uint16)
+_IS_BEYOND = np.array([bool(_BEYOND.match(chr(c))) for c in range(0x181)])
+_SPACE, _LETTER, _DIGIT, _SYMBOL = range(4)
+_KIND = np.array([_SPACE if chr(c).isspace() else _LETTER if re.match(f"[{_LETTERS}]", chr(c)) else _DIGIT if re.match(f"[{_DIGITS}]", chr(c)) else _SYMBOL for c in range(0x181)], np.int8)
+_NUMBERS = np.random.default_rng(5).integers(1, 1 << 63, 0x181, np.uint64) * (_KIND != _SPACE)
+_POWERS = np.multiply.accumulate(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def _unit_starts(code: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where _UNITS would find its matches; code begins with white space and ends with three of them."""
+    start = (kind != _SPACE) & (kind == _DIGIT)
+    start[1:] |= (kind[1:] != _SPACE) & (kind[1:] != kind[:-1])
+    mark = np.flatnonzero((code == ord("'")) & start)  # an apostrophe within symbols is one of them
+    one, two = code[mark + 1], code[mark + 2]
+    e, l, r, v = map(ord, "elrv")  # noqa: E741
+    long = ((one == r) | (one == v)) & (two == e) | (one == l) & (two == l)
+    short = np.isin(one, [ord(c) for c in "stmd"])
+    for own, size in ((mark[short], 2), (mark[long], 3)):
+        start[own + 1] = False
+        start[own + size] |= kind[own + size] == _LETTER
+    return np.flatnonzero(start)
+
+
+def _ranges(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... for lengths[0] numbers, then first[1], ..."""
+    ends = np.cumsum(lengths)
+    return np.repeat(first - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class _Units:
+    """Ids of units by a 64-bit hash, in an open-addressed table; each use compares the unit's characters as well."""
+
+    def __init__(self, most: int):
+        self.most, self.bits = most, max(4, (2 * most).bit_length())
+        self.slots, self.keys = np.full(1 << self.bits, -1, np.int32), np.zeros(0, np.uint64)
+        self.chars, self.char_starts = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+        self.ids, self.id_starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        number, rest, slot = np.full(len(key), -1, np.int64), np.arange(len(key)), (key >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(rest):
+            here = self.slots[slot]
+            taken = here >= 0
+            same = taken.copy()
+            same[taken] = self.keys[here[taken]] == key[rest[taken]]
+            number[rest[same]] = here[same]
+            on = taken & ~same
+            rest, slot = rest[on], (slot[on] + 1) & (len(self.slots) - 1)
+        return number
+
+    def _insert(self, first: int) -> None:
+        rest = np.arange(first, len(self.keys))
+        slot = (self.keys[first:] >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(rest):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = rest[free]
+            lost = self.slots[slot] != rest
+            rest, slot = rest[lost], (slot[lost] + 1) & (len(self.slots) - 1)
+
+    def ids_of(self, code: np.ndarray, kind: np.ndarray, starts: np.ndarray, encode):
+        """(ids of all units in a row, number of ids of each); ids is None if two different units have one hash."""
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        lo, at = starts[0], starts - starts[0]
+        part, solid = code[lo:], kind[lo:] != _SPACE
+        place = np.arange(len(part)) - np.repeat(at, np.diff(np.append(at, len(part))))
+        key = np.add.reduceat(_NUMBERS[part] * _POWERS[place & 0xFFFF], at)
+        key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        size = np.add.reduceat(solid, at, dtype=np.int64)
+        number = self._find(key)
+        known, missing = len(self.keys), np.flatnonzero(number < 0)
+        if len(missing):
+            new, example, which = np.unique(key[missing], return_index=True, return_inverse=True)
+            number[missing] = known + which
+            example = missing[example]
+            text = part.astype("<u4").tobytes().decode("utf-32-le")
+            ids = [encode(text[a : a + n]) for a, n in zip(at[example].tolist(), size[example].tolist())]
+            self.keys = np.concatenate([self.keys, new])
+            self.chars = np.concatenate([self.chars, part[_ranges(at[example], size[example])]])
+            self.char_starts = np.concatenate([self.char_starts, self.char_starts[-1] + np.cumsum(size[example])])
+            self.ids = np.concatenate([self.ids, np.fromiter((i for one in ids for i in one), np.uint32)])
+            self.id_starts = np.concatenate([self.id_starts, self.id_starts[-1] + np.cumsum([len(one) for one in ids])])
+        first = self.char_starts[number]
+        right = np.array_equal(self.char_starts[number + 1] - first, size) and np.array_equal(self.chars[_ranges(first, size)], part[solid])
+        first = self.id_starts[number]
+        lengths = self.id_starts[number + 1] - first
+        out = self.ids[_ranges(first, lengths)] if right else None
+        if len(self.keys) > self.most:  # the earliest stay; the others are encoded anew each time
+            self.keys = self.keys[: self.most].copy()
+            self.char_starts, self.id_starts = self.char_starts[: self.most + 1].copy(), self.id_starts[: self.most + 1].copy()
+            self.chars, self.ids = self.chars[: self.char_starts[-1]].copy(), self.ids[: self.id_starts[-1]].copy()
+        self._insert(known)
+        return out, lengths
+
+
 class PieceEncoder:
-    """Two bounded tables: white-space separated chunks, and the letter runs, digits and symbol runs within them."""
+    """Bounded tables: white-space separated chunks, and the letter runs, digits and symbol runs within them."""
 
     def __init__(self, path: str, max_pieces: int = MAX_PIECES):
         from tokenizers import Tokenizer
@@ -105,13 +202,15 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.plain = _is_plain(self.tokenizer)
         self.max_pieces, self.units = max_pieces, {}
-        self.chunks, self.whole = _Store(max_pieces), _Store(max_pieces)
+        self.chunks, self.others, self.whole = _Store(max_pieces), _Store(max_pieces), _Units(max_pieces)
 
     def split(self, text: str) -> list[str]:
         return text.split() if not _CONTROL.search(text) else [p for p in _SAFE.split(text) if p]
 
     def model_ids(self, unit: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(unit.encode().decode("latin-1").translate(_BYTES))]
+        if not (unit.isascii() and unit.isprintable()):  # those stand for themselves
+            unit = unit.encode().decode("latin-1").translate(_BYTES)
+        return [t.id for t in self.tokenizer.model.tokenize(unit)]
 
     def unit_ids(self, unit: str) -> list[int]:
         ids = self.units.get(unit)
@@ -144,35 +243,71 @@ class PieceEncoder:
         self.chunks.forget()
         return counts, np.array(sizes, np.int64)
 
-    def pieces(self, text: str) -> list:
-        """Units of a text that the units' pattern splits as the library does; else its chunks, marked as such."""
-        if self.plain and not _BEYOND.search(text):
-            return _UNITS.findall(text.lower())
-        return [(chunk,) for chunk in self.split(text)]
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row (uint32), and the number of ids of each text. Units are fewer than chunks, so
-        this has a table of its own."""
-        store, flat, sizes = self.whole, [], []
+        """Ids of all texts in a row (uint32), and the number of ids of each text."""
+        parts, owner = [], []
+        for i, text in enumerate(texts):
+            lo = 0
+            while len(text) - lo > GROUP_CHARS and (gap := _SAFE.search(text, lo + GROUP_CHARS)):
+                parts.append(text[lo : gap.start()])
+                owner.append(i)
+                lo = gap.start()
+            parts.append(text[lo:])
+            owner.append(i)
+        ids, sizes, held, total = [], [], [], 0
+        for i, part in enumerate(parts):
+            held.append(part)
+            total += len(part)
+            if total >= GROUP_CHARS or i == len(parts) - 1:
+                found = self._group(held)
+                ids.append(found[0])
+                sizes.append(found[1])
+                held, total = [], 0
+        if not parts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.concatenate(ids), np.bincount(owner, np.concatenate(sizes), len(texts)).astype(np.int64)
+
+    def _group(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.plain:
+            return self._by_chunk(parts)
+        codes = np.frombuffer(("\n" + "\n".join(parts) + "\n\n\n").encode("utf-32-le"), "<u4")
+        edges = np.cumsum([1] + [len(p) + 1 for p in parts])
+        code = np.minimum(codes, len(_LOWER) - 1).astype(np.uint16)
+        beyond = _IS_BEYOND[code]
+        beyond[:-1] |= (code[:-1] == 60) & (code[1:] == 124)
+        others = np.unique(np.searchsorted(edges, np.flatnonzero(beyond), side="right") - 1)
+        code = _LOWER[code]
+        for i in others:
+            code[edges[i] : edges[i + 1] - 1] = 10
+        kind = _KIND[code]
+        starts = _unit_starts(code, kind)
+        ids, lengths = self.whole.ids_of(code, kind, starts, self.model_ids)
+        if ids is None:  # two units of one hash
+            return self._by_chunk(parts)
+        sizes = np.bincount(np.searchsorted(edges, starts, side="right") - 1, lengths, len(parts)).astype(np.int64)
+        if len(others):
+            more, counts = self._by_chunk([parts[i] for i in others])
+            at = np.cumsum(sizes)[others]  # they have no ids yet, so this is where theirs go
+            ids = np.insert(ids, np.repeat(at, counts), more)
+            sizes[others] = counts
+        return ids, sizes
+
+    def _by_chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        store, flat, sizes = self.others, [], []
         look = store.table.__getitem__
         for text in texts:
-            pieces = self.pieces(text)
-            sizes.append(len(pieces))
-            flat.extend(map(look, pieces))
-        store.learn(self._piece_ids)
+            chunks = self.split(text)
+            sizes.append(len(chunks))
+            flat.extend(map(look, chunks))
+        store.learn(self.chunk_ids)
         number = np.array(flat, np.int64)
         first = store.starts[number]
         lengths = store.starts[number + 1] - first
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = store.ids[np.repeat(first - (ends - lengths), lengths) + np.arange(total)]
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])]
+        ids = store.ids[_ranges(first, lengths)]
+        upto = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])]
         store.forget()
         return ids, np.diff(upto)
 
-    def _piece_ids(self, piece) -> list[int]:
-        return self.chunk_ids(piece[0]) if type(piece) is tuple else self.model_ids(piece)
-
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
