@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 from lodestar.llm import hnsw, mil, mixing, packing, prefix_counts, rans, rules, secrets, simhash, substrings, tokens
 from lodestar.llm.common import new_path, stage
@@ -385,3 +386,52 @@ def test_neighbours(spark):
     assert hits / 150 >= 0.95
     empty = hnsw.build_index(hnsw.distinct_vectors(table_.where("vec_id = 5000")))
     assert hnsw.search(empty, hnsw.queries_of(table_)).count() == 0
+
+
+def test_encoder_matches_the_library_for_awkward_texts(monkeypatch):
+    """Apostrophes, symbols, control characters, scripts, special strings; tables and groups down to almost nothing."""
+    library = Tokenizer.from_file(tokens.default_path())
+    r = random.Random(3)
+    plain = ["'", "''", "s", "t", "re", "ve", "m", "ll", "d", "a", "Z", "É", "ÿ", "Ÿ", "ſ", "ñ", "1", "²", "!", "-", " ", "\n", "\x85", "\xa0", "\x00", "µ", "don't", "'S", "x" * 30]
+    texts = ["".join(r.choice(plain if k % 3 else [*plain, "\x1c", "İ", "—", "日本", "<|", "<|endoftext|>"]) for _ in range(r.randrange(60))) for k in range(600)] + ["", "  ", "a " * 5000, "q" * 5000]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for most, group in ((300_000, 1 << 20), (50, 40), (500, 7)):
+        monkeypatch.setattr(tokens, "GROUP_CHARS", group)
+        encoder = tokens.PieceEncoder(tokens.default_path(), most)
+        for _ in range(2):
+            ids, sizes = encoder.encode(texts)
+            assert sizes.tolist() == [len(w) for w in want]
+            assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_units_of_one_hash_are_told_apart(monkeypatch):
+    """With every hash equal, ids still are the library's."""
+    monkeypatch.setattr(tokens, "_NUMBERS", np.zeros_like(tokens._NUMBERS))
+    library, texts = Tokenizer.from_file(tokens.default_path()), ["one two", "", "three", "two"]
+    ids, sizes = tokens.PieceEncoder(tokens.default_path()).encode(texts)
+    assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
+    assert sizes.tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_passage_features_match_a_plain_version(monkeypatch):
+    texts = [b"", b"  ", b"one", "Ünï ABC 12 #x  a\tb\r\nAB".encode(), b" ".join([b"aa", b"B1", b"##", b"x" * 25, b"9"] * 100), b"\n\n", b"a " * 128]
+
+    def plain(words):
+        rows = []
+        for w in words:
+            upper = sum(65 <= c <= 90 for c in w)
+            letters = upper + sum(97 <= c <= 122 or c >= 128 for c in w)
+            rows.append((min(len(w), 30) / 10, upper / len(w), sum(c in b"#*$%&|<>!@^~_={}[]\\" for c in w) / len(w), sum(48 <= c <= 57 for c in w) / len(w), letters == 0, 1 < upper == letters, len(w) > 20))
+        return [*(np.mean(np.array(rows, float), axis=0) if rows else np.zeros(7)), len(set(words)) / len(words) if words else 1.0, len(words) / mil.PASSAGE]
+
+    want = [[plain(t.split()[s : s + mil.PASSAGE]) for s in range(0, max(1, len(t.split())), mil.PASSAGE)] for t in texts]
+    scores = []
+    for group in (1, 1 << 20):
+        monkeypatch.setattr(mil, "GROUP_BYTES", group)
+        shape, bucket, size, per_text = mil.passages(texts)
+        assert per_text.tolist() == [len(w) for w in want]
+        assert shape == pytest.approx(np.array([p for w in want for p in w]), abs=1e-5)
+        assert len(bucket) == size.sum() == sum(len(t.split()) for t in texts)
+        scores.append(mil._scores(mil.Model.fresh(), texts))
+    assert scores[0] == pytest.approx(scores[1])
+    assert mil.passages(texts, 2)[3].tolist() == [min(2, len(w)) for w in want]
