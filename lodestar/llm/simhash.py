@@ -190,14 +190,17 @@ def representatives(documents: DataFrame, radius: int = RADIUS, shingle: int = S
     rows = found.groupBy("component_id", "doc_id", "fp").agg(F.count(F.lit(1)).alias("n"))
     kept, _ = stage(rows.groupBy("component_id").agg(F.min(first).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.fp").alias("_fp")), "representatives")
     repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    # As many rows are kept as there are components, so they are never broadcast, whatever the size: texts are dealt
+    # once by their ids.
+    kept = kept.hint("merge")
     same = F.col("_id").eqNullSafe(documents["doc_id"].cast("long"))
     if not repeated.take(1):
         return documents.join(kept, same, "left_semi")
     repeated, _ = stage(repeated, "repeated-ids")
     often = F.col("doc_id").eqNullSafe(F.col("_id"))
-    once = documents.join(kept.join(repeated, often, "left_anti"), same, "left_semi")
+    once = documents.join(kept.join(repeated, often, "left_anti").hint("merge"), same, "left_semi")
     # Rows that share their doc_id are told apart by their fingerprints; few, unless ids are bad throughout.
-    unclear = documents.join(kept.join(repeated, often, "left_semi"), same, "left_semi")
+    unclear = documents.join(kept.join(repeated, often, "left_semi").hint("merge"), same, "left_semi")
     names = documents.columns
 
     def printed(batches):
