@@ -289,16 +289,26 @@ def _times(matrix: list[int], vector: int) -> int:
     return out
 
 
-def crc32_join(a: int, b: int, length: int) -> int:
-    """CRC-32 of two byte strings in a row, from their CRCs and the second one's length: the first CRC is moved over
-    that many zero bytes by squaring the matrix of one zero bit."""
-    matrix = [0xEDB88320] + [1 << i for i in range(31)]
-    for _ in range(3):
+def _zero_runs() -> list[list[int]]:
+    """Matrices that move a CRC-32 over 1, 2, 4, ... zero bytes: the one of a zero bit, squared again and again."""
+    matrix, out = [0xEDB88320] + [1 << i for i in range(31)], []
+    for k in range(3 + 48):
+        if k >= 3:
+            out.append(matrix)
         matrix = [_times(matrix, r) for r in matrix]
-    while length:
+    return out
+
+
+_ZERO_RUNS = _zero_runs()
+
+
+def crc32_join(a: int, b: int, length: int) -> int:
+    """CRC-32 of two byte strings in a row, from their CRCs and the second one's length (below 2**48)."""
+    for matrix in _ZERO_RUNS:
+        if not length:
+            break
         if length & 1:
             a = _times(matrix, a)
-        matrix = [_times(matrix, r) for r in matrix]
         length >>= 1
     return a ^ b
 
