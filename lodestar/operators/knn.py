@@ -9,28 +9,32 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 4096
 METRICS = ("cosine", "euclidean", "sqeuclidean", "inner")
 
 
-def _blocks(df: DataFrame, id_column: str, vector: str, block: int) -> tuple[DataFrame, int]:
-    rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+def _blocks(df: DataFrame, id_column: str, vector: str, block: int, bias: Column | None = None) -> tuple[DataFrame, int]:
+    more = [] if bias is None else [bias.alias("bias")]
+    rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), *more).where("id is not null and v is not null")
     n = max(1, -(-rows.count() // block))
     return rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
 
 
-def topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
+def topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = False, block: int = BLOCK, scale: float = 1.0, bias: str | None = None) -> DataFrame:
     """corpus (vec_id, embedding), queries (qid, qvec) -> qid, rank, vec_id, score. cosine and inner score by inner
-    product, larger first (vectors are taken as normalised); the others by distance, smaller first."""
+    product, larger first (vectors are taken as normalised); the others by distance, smaller first. With ``bias``, a
+    column of corpus, the product is scaled and the column added before anything is ranked."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     if k < 0:
         raise ValueError("k must not be negative")
     sign = -1.0 if metric in ("cosine", "inner") else 1.0
-    own, n = _blocks(corpus, "vec_id", "embedding", block)
+    if bias and sign > 0:
+        raise ValueError("a bias goes with cosine or inner")
+    own, n = _blocks(corpus, "vec_id", "embedding", block, F.col(bias).cast("double") if bias else F.lit(0.0))
     asked, m = _blocks(queries, "qid", "qvec", block)
     asked = asked.select(F.col("id").alias("qid"), F.col("v").alias("qv"), "b")
     own = own.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
@@ -43,19 +47,19 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
         ids, qids = left.column("id").to_numpy(), right.column("qid").to_numpy()
         x, q = np.array(left.column("v").to_pylist(), float), np.array(right.column("qv").to_pylist(), float)
         order = np.argsort(ids, kind="stable")
-        ids, x, out = ids[order], x[order], []
+        ids, x, plus, out = ids[order], x[order], left.column("bias").to_numpy()[order], []
         for lo in range(0, len(q), 256):
             part = q[lo : lo + 256]
             if sign < 0:
-                key = -(part @ x.T)
+                key = -(scale * (part @ x.T) + plus) if bias else -(part @ x.T)
             else:
                 key = np.stack([((x - p) ** 2).sum(axis=1) for p in part])
                 key = np.sqrt(key) if metric == "euclidean" else key
             for i, row in zip(qids[lo : lo + 256], key):
                 if exclude_self:
                     row = np.where(ids == i, np.inf, row)
-                edge = np.partition(row, k - 1)[k - 1] if k < len(row) else np.inf
-                near = np.flatnonzero(row <= edge) if np.isfinite(edge) else np.flatnonzero(row < np.inf)
+                near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if k < len(row) else np.arange(len(row))
+                near = near[ids[near] != i] if exclude_self else near
                 near = near[np.argsort(row[near], kind="stable")][:k]
                 out.append((np.full(len(near), i), ids[near], row[near]))
         return pa.Table.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)

@@ -86,8 +86,8 @@ def geodesic_topk(spark, d):
     return _r(_search(spark, d, k=20, metric="geodesic", search_k=100, connect_k=3), "dist")
 
 
-def apsp_subset(spark, d):
-    return _r(graph.paths_between(_edges(spark, d), _embeddings(spark, d).where("vec_id < 20").select(F.col("vec_id").alias("id"))), "dist")
+def all_shortest_paths(spark, d):
+    return _r(graph.paths_between(_edges(spark, d), _embeddings(spark, d).select(F.col("vec_id").alias("id"))), "dist")
 
 
 def _candidates(spark, d):
@@ -111,7 +111,7 @@ def eval_cosine(spark, d):
 
 def eval_ppr(spark, d):
     e = _embeddings(spark, d)
-    adj = cut(soft.soft_knn(e.where("vec_id < 300")).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("a").alias("w")), "adjacency")[0]
+    adj = cut(soft.soft_knn(e).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("a").alias("w")), "adjacency")[0]
     run = graph.pagerank_rerank(_candidates(spark, d), adj, 50).select("qid", F.col("vec_id").alias("doc_id"), "score")
     return _r(metrics.retrieval_metrics(run, _qrels(spark, d)), "ndcg", "recall")
 
@@ -131,32 +131,41 @@ def graph_distribution(spark, d):
     return _r(soft.distribution_metrics(soft.soft_knn(_embeddings(spark, d))), "entropy", "effective_degree")
 
 
-def _small(spark, d):
-    return cut(soft.soft_knn(_embeddings(spark, d).where("vec_id < 32"), 8, 1.0).select("i", "j", F.col("a").alias("v")), "small")[0]
+def _soft_matrix(spark, d):
+    return cut(soft.soft_knn(_embeddings(spark, d)).select("i", "j", F.col("a").alias("v")), "soft")[0]
 
 
 def heat_kernel(spark, d):
-    return _r(soft.heat_kernel_distances(_small(spark, d), spark.range(32), 1.0, 5), "d")
+    return _r(soft.heat_kernel_distances(_soft_matrix(spark, d), _embeddings(spark, d).select(F.col("vec_id").alias("id")), 1.0, 5), "d")
 
 
 def forman_soft_implemented(spark, d):
-    return _r(soft.matrix_forman(_small(spark, d)), "kappa")
+    return _r(soft.matrix_forman(_soft_matrix(spark, d)), "kappa")
 
 
 def forman_soft_documented(spark, d):
-    return _r(soft.matrix_forman(_small(spark, d), "documented"), "kappa")
+    return _r(soft.matrix_forman(_soft_matrix(spark, d), "documented"), "kappa")
+
+
+def _next_label(each: DataFrame, *values: str) -> DataFrame:
+    """label and the values of the label after it, of one row for each label."""
+    from pyspark.sql import Window
+
+    labels = Window.orderBy("label")  # of the labels, not of their rows
+    whole = labels.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return each.select("label", *[F.coalesce(F.lead(v).over(labels), F.first(v).over(whole)).alias(v) for v in values])
 
 
 def _triplets(spark, d):
-    """q: a vector; p: the next id's with its label; n: the next id's with another label."""
+    """q: a vector; p: the next id's with its label; n: the first of the next label, the least label following the largest."""
     from pyspark.sql import Window
 
     e = _embeddings(spark, d)
     later = Window.orderBy(F.desc("vec_id")).partitionBy("label").rowsBetween(Window.unboundedPreceding, -1)
     p = e.withColumn("pid", F.last("vec_id").over(later))
-    n = e.select("vec_id", "label").alias("a").join(e.select(F.col("vec_id").alias("nid"), F.col("label").alias("other")).alias("b"), (F.col("nid") > F.col("vec_id")) & (F.col("nid") <= F.col("vec_id") + 50) & (F.col("other") != F.col("label"))).groupBy("vec_id").agg(F.min("nid").alias("nid"))
+    n = _next_label(e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("nv")), "nv")
     v = e.select(F.col("vec_id").alias("x"), F.col("embedding").alias("xv"))
-    rows = p.join(n, "vec_id").join(v.withColumnsRenamed({"x": "pid", "xv": "pv"}), "pid").join(v.withColumnsRenamed({"x": "nid", "xv": "nv"}), "nid")
+    rows = p.join(n, "label").join(v.withColumnsRenamed({"x": "pid", "xv": "pv"}), "pid")
     far = lambda a, b: F.sqrt(vectors.squared_l2(F.col(a), F.col(b)))
     return rows.select("vec_id", far("embedding", "pv").alias("d_pos"), far("embedding", "nv").alias("d_neg"))
 
@@ -174,8 +183,14 @@ def ricci_hinge(spark, d):
 
 
 def geo_loss_forward(spark, d):
-    e = {r["vec_id"]: list(r["embedding"]) for r in _embeddings(spark, d).where("vec_id < 16").collect()}
-    batch = spark.createDataFrame([(i, e[i], e[4 + i], [e[8 + i], e[12 + i]]) for i in range(4)], "id long, q array<double>, p array<double>, n array<array<double>>")
+    """A batch of a row for each label: q its vectors' mean, p their largest coordinates, n both of the next label."""
+    from pyspark.sql import Window
+
+    largest = F.array(*[F.max(F.col("embedding")[i]) for i in range(DIM)])
+    each = _embeddings(spark, d).groupBy("label").agg(vectors.mean_vector(F.col("embedding"), DIM).alias("q"), largest.alias("p"))
+    each = each.select("label", vectors.l2_normalize(F.col("q")).alias("q"), vectors.l2_normalize(F.col("p")).alias("p"))
+    batch = each.join(_next_label(each, "q", "p").select("label", F.array("q", "p").alias("n")), "label")
+    batch = cut(batch.select((F.row_number().over(Window.orderBy("label")) - 1).cast("long").alias("id"), "q", "p", "n"), "batch")[0]
     return _r(soft.geometric_loss(batch, 4), "info_nce", "ricci", "total")
 
 
@@ -209,17 +224,12 @@ def meta_eval(spark, d):
     return _r(_documents(spark, d).agg(metrics.meta_evaluation(metrics.keyword_judge(F.col("text"), _JUDGED)).alias("score"), F.count(F.lit(1)).alias("n")), "score")
 
 
-def _grouped(spark, d):
-    """The first three texts of each source, by doc_id."""
-    from pyspark.sql import Window
-
-    first = _documents(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("r <= 6")
-    return first.groupBy("source").agg(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda x: x["r"] <= 3), lambda x: x["text"]).alias("gt_docs"), F.transform(F.filter(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda x: x["r"] > 3), lambda x: x["text"]).alias("new_docs"))
-
-
 def sud_delta(spark, d):
-    rows = _grouped(spark, d).withColumnRenamed("source", "id")
-    return metrics.sud(rows, lambda a: metrics.keyword_judge(a, _JUDGED)).select(F.col("id").alias("source"), "delta")
+    """Every document against the next id's."""
+    docs = _documents(spark, d).select("doc_id", "text")
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("new"))
+    rows = docs.join(after, "doc_id", "left").select(F.col("doc_id").alias("id"), F.array("text").alias("gt_docs"), F.array("new").alias("new_docs"))
+    return metrics.sud(rows, lambda a: metrics.keyword_judge(a, _JUDGED)).select(F.col("id").alias("doc_id"), "delta")
 
 
 def rare_overlap(spark, d):
@@ -267,13 +277,12 @@ def _soft_sql(where: str, k: int, gamma: str | None) -> str:
 
 
 _SOFT = _soft_sql("", 8, None)
-_SMALL = _soft_sql("AND a.vec_id < 32 AND b.vec_id < 32", 8, "1.0") + ", sy AS (SELECT i, j, sum(v) / 2 AS v FROM (SELECT i, j, a AS v FROM soft UNION ALL SELECT j, i, a FROM soft) GROUP BY i, j), dg AS (SELECT i, sum(v) AS d FROM sy GROUP BY i)"
-_HEAT = f"{_SMALL}, lap AS (SELECT l.i, l.j, sum(l.v) / sqrt(any_value(a.d) + 1e-8) / sqrt(any_value(b.d) + 1e-8) AS v FROM (SELECT i, j, -v AS v FROM sy UNION ALL SELECT i, i, d FROM dg) l JOIN dg a ON l.i = a.i JOIN dg b ON l.j = b.i GROUP BY l.i, l.j), t0 AS (SELECT i, i AS j, 1.0::DOUBLE AS v FROM dg)" + "".join(f", t{n} AS (SELECT t.i, l.j, -sum(t.v * l.v) / {n} AS v FROM t{n - 1} t JOIN lap l ON t.j = l.i GROUP BY t.i, l.j)" for n in range(1, 6)) + ", kr AS (SELECT i, j, sum(v) AS v FROM (" + " UNION ALL ".join(f"SELECT * FROM t{n}" for n in range(6)) + ") GROUP BY i, j), full_k AS (SELECT a.i, b.i AS j, coalesce(kr.v, 0) AS v FROM dg a CROSS JOIN dg b LEFT JOIN kr ON kr.i = a.i AND kr.j = b.i)"
-_TRIP = f"WITH {_E}, tp AS (SELECT a.vec_id, (SELECT min(b.vec_id) FROM e b WHERE b.label = a.label AND b.vec_id > a.vec_id) AS pid, (SELECT min(b.vec_id) FROM e b WHERE b.label <> a.label AND b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 50) AS nid FROM e a), t AS (SELECT list_distance(a.v, p.v) AS dp, list_distance(a.v, n.v) AS dn FROM tp JOIN e a USING (vec_id) JOIN e p ON p.vec_id = pid JOIN e n ON n.vec_id = nid)"
+_SYM = _SOFT + ", sy AS (SELECT i, j, sum(v) / 2 AS v FROM (SELECT i, j, a AS v FROM soft UNION ALL SELECT j, i, a FROM soft) GROUP BY i, j), dg AS (SELECT i, sum(v) AS d FROM sy GROUP BY i)"
+_HEAT = f"{_SYM}, lap AS (SELECT l.i, l.j, sum(l.v) / sqrt(any_value(a.d) + 1e-8) / sqrt(any_value(b.d) + 1e-8) AS v FROM (SELECT i, j, -v AS v FROM sy UNION ALL SELECT i, i, d FROM dg) l JOIN dg a ON l.i = a.i JOIN dg b ON l.j = b.i GROUP BY l.i, l.j), t0 AS (SELECT i, i AS j, 1.0::DOUBLE AS v FROM dg)" + "".join(f", t{n} AS (SELECT t.i, l.j, -sum(t.v * l.v) / {n} AS v FROM t{n - 1} t JOIN lap l ON t.j = l.i GROUP BY t.i, l.j)" for n in range(1, 6)) + ", kr AS (SELECT i, j, sum(v) AS v FROM (" + " UNION ALL ".join(f"SELECT * FROM t{n}" for n in range(6)) + ") GROUP BY i, j), full_k AS (SELECT a.i, b.i AS j, coalesce(kr.v, 0) AS v FROM dg a CROSS JOIN dg b LEFT JOIN kr ON kr.i = a.i AND kr.j = b.i)"
+_TRIP = f"WITH {_E}, fl AS (SELECT label, min_by(v, vec_id) AS v FROM e GROUP BY label), nl AS (SELECT label, coalesce(lead(v) OVER (ORDER BY label), first(v) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS v FROM fl), tp AS (SELECT vec_id, label, v, lead(v) OVER (PARTITION BY label ORDER BY vec_id) AS pv FROM e), t AS (SELECT list_distance(tp.v, pv) AS dp, list_distance(tp.v, nl.v) AS dn FROM tp JOIN nl USING (label) WHERE pv IS NOT NULL)"
 _WORD = "list_filter(regexp_split_to_array(coalesce({}, ''), '\\s+'), lambda w: w <> '')"
 _JUDGE = "(" + " + ".join(f"contains(lower({{0}}), '{w}')::INT" for w in _JUDGED) + ") / 4.0::DOUBLE"
 _J = _JUDGE.format("coalesce(text, '')")
-_FIRST = "f AS (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents), g AS (SELECT source, substr(string_agg(text, ' ' ORDER BY r) FILTER (r <= 3), 1, 1000) AS gt, substr(coalesce(string_agg(text, ' ' ORDER BY r) FILTER (r > 3 AND r <= 6), ''), 1, 1000) AS nw FROM f GROUP BY source)"
 
 SQL = {
     "l2_normalize": f"WITH {_E}, x AS (SELECT vec_id, list_transform(v, lambda y: 3 * y) AS v FROM e), n AS (SELECT vec_id, list_transform(v, lambda y: y / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS v FROM x) SELECT vec_id, round(list_sum(v), 6) AS total, round(v[1], 6) AS first FROM n",
@@ -293,20 +302,20 @@ SQL = {
     "soft_knn_diagnostics": f"WITH {_E}, {_SOFT}, rw AS (SELECT i, sum(-p * ln(p + 1e-12)) AS h, sum(p * p) AS s FROM sp GROUP BY i), x AS (SELECT (SELECT quantile_cont(d2, 0.2) / ln(8) FROM pr WHERE d2 > 0) AS gamma, avg(h) AS entropy, 1 / avg(s) AS effective_degree, (SELECT avg(d) FROM (SELECT sum(a) AS d FROM soft GROUP BY i)) AS actual_degree FROM rw) SELECT round(gamma, 6) AS gamma, round(entropy, 6) AS entropy, round(effective_degree, 6) AS effective_degree, round(actual_degree, 6) AS actual_degree, round(abs(actual_degree - 8), 6) AS degree_error, CASE WHEN entropy > 1 AND abs(effective_degree - 8) < 2.4 THEN 'optimal' ELSE 'suboptimal' END AS status FROM x",
     "graph_distribution": f"WITH {_E}, {_SOFT}, p2 AS (SELECT i, a / (sum(a) OVER (PARTITION BY i) + 1e-12) AS p FROM soft), rw AS (SELECT i, sum(-p * ln(p + 1e-12)) AS h, sum(p * p) AS s FROM p2 GROUP BY i) SELECT round(avg(h), 6) AS entropy, round(1 / avg(s), 6) AS effective_degree FROM rw",
     "heat_kernel": f"WITH {_E}, {_HEAT} SELECT a.i, b.i AS j, round(sum((a.v - b.v) * (a.v - b.v)), 6) AS d FROM full_k a JOIN full_k b ON a.j = b.j AND a.i <> b.i GROUP BY 1, 2",
-    "forman_soft_implemented": f"WITH {_E}, {_SMALL} SELECT s.i, s.j, round(any_value(s.v * (1 / (a.d + 1e-9) + 1 / (b.d + 1e-9))) - sum(s.v * x.v / sqrt(s.v * s.v * x.v + 1e-9)), 6) AS kappa FROM sy s JOIN dg a ON s.i = a.i JOIN dg b ON s.j = b.i JOIN sy x ON x.i = s.i GROUP BY 1, 2",
-    "forman_soft_documented": f"WITH {_E}, {_SMALL}, tr AS (SELECT s.i, s.j, sum(x.v * y.v / sqrt(s.v * x.v * y.v + 1e-9)) AS t FROM sy s JOIN sy x ON x.i = s.i JOIN sy y ON y.i = s.j AND y.j = x.j GROUP BY 1, 2) SELECT s.i, s.j, round(s.v * (1 / (a.d + 1e-9) + 1 / (b.d + 1e-9)) - coalesce(t, 0), 6) AS kappa FROM sy s JOIN dg a ON s.i = a.i JOIN dg b ON s.j = b.i LEFT JOIN tr ON tr.i = s.i AND tr.j = s.j",
+    "forman_soft_implemented": f"WITH {_E}, {_SYM} SELECT s.i, s.j, round(any_value(s.v * (1 / (a.d + 1e-9) + 1 / (b.d + 1e-9))) - sum(s.v * x.v / sqrt(s.v * s.v * x.v + 1e-9)), 6) AS kappa FROM sy s JOIN dg a ON s.i = a.i JOIN dg b ON s.j = b.i JOIN sy x ON x.i = s.i GROUP BY 1, 2",
+    "forman_soft_documented": f"WITH {_E}, {_SYM}, tr AS (SELECT s.i, s.j, sum(x.v * y.v / sqrt(s.v * x.v * y.v + 1e-9)) AS t FROM sy s JOIN sy x ON x.i = s.i JOIN sy y ON y.i = s.j AND y.j = x.j GROUP BY 1, 2) SELECT s.i, s.j, round(s.v * (1 / (a.d + 1e-9) + 1 / (b.d + 1e-9)) - coalesce(t, 0), 6) AS kappa FROM sy s JOIN dg a ON s.i = a.i JOIN dg b ON s.j = b.i LEFT JOIN tr ON tr.i = s.i AND tr.j = s.j",
     "info_nce": f"{_TRIP} SELECT round(avg(dp / 0.07 + ln(exp(-dp / 0.07) + exp(-dn / 0.07))), 6) AS loss FROM t",
     "triplet_margin": f"{_TRIP} SELECT round(avg(greatest(0, dp - dn + 1)), 6) AS loss FROM t",
     "geodesic_topk": f"WITH RECURSIVE {_TOP}, {_COS}, adj AS (SELECT src AS node, dst AS nbr, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges), cand AS (SELECT qid, vec_id, rank, score FROM c WHERE rank <= 100), inner_adj AS (SELECT a.qid, adj.node, adj.nbr, adj.weight FROM adj JOIN cand a ON adj.node = a.vec_id JOIN cand b ON adj.nbr = b.vec_id AND a.qid = b.qid), walk(qid, node, dist) USING KEY (qid, node) AS (SELECT qid, vec_id, greatest(0, 1 - score)::DOUBLE FROM cand WHERE rank <= 3 UNION SELECT x.qid, x.node, x.dist FROM (SELECT w.qid, a.nbr AS node, min(w.dist + a.weight) AS dist FROM walk w JOIN inner_adj a ON w.qid = a.qid AND w.node = a.node GROUP BY 1, 2) x LEFT JOIN recurring.walk r ON r.qid = x.qid AND r.node = x.node WHERE r.dist IS NULL OR x.dist < r.dist), o AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, node)::INT AS rank, node AS vec_id, dist FROM walk) SELECT qid, rank, vec_id, round(dist, 6) AS dist FROM o WHERE rank <= 20",
-    "apsp_subset": f"WITH RECURSIVE {_E}, {_COS}, adj AS (SELECT src AS node, dst AS nbr, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges), walk(src, node, dist) USING KEY (src, node) AS (SELECT vec_id, vec_id, 0::DOUBLE FROM e WHERE vec_id < 20 UNION SELECT x.src, x.node, x.dist FROM (SELECT w.src, a.nbr AS node, min(w.dist + a.weight) AS dist FROM walk w JOIN adj a ON w.node = a.node GROUP BY 1, 2) x LEFT JOIN recurring.walk r ON r.src = x.src AND r.node = x.node WHERE r.dist IS NULL OR x.dist < r.dist) SELECT a.vec_id AS src, b.vec_id AS dst, round(coalesce(dist, 'Infinity'::DOUBLE), 6) AS dist FROM e a JOIN e b ON a.vec_id < 20 AND b.vec_id < 20 LEFT JOIN walk w ON w.src = a.vec_id AND w.node = b.vec_id",
+    "all_shortest_paths": f"WITH RECURSIVE {_E}, {_COS}, adj AS (SELECT src AS node, dst AS nbr, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges), walk(src, node, dist) USING KEY (src, node) AS (SELECT vec_id, vec_id, 0::DOUBLE FROM e UNION SELECT x.src, x.node, x.dist FROM (SELECT w.src, a.nbr AS node, min(w.dist + a.weight) AS dist FROM walk w JOIN adj a ON w.node = a.node GROUP BY 1, 2) x LEFT JOIN recurring.walk r ON r.src = x.src AND r.node = x.node WHERE r.dist IS NULL OR x.dist < r.dist) SELECT a.vec_id AS src, b.vec_id AS dst, round(coalesce(dist, 'Infinity'::DOUBLE), 6) AS dist FROM e a CROSS JOIN e b LEFT JOIN walk w ON w.src = a.vec_id AND w.node = b.vec_id",
     "nms": "SELECT round(coalesce(avg((a.toxic < b.toxic AND a.quality > b.quality)::INT::DOUBLE), 0), 6) AS score FROM labels a JOIN labels b ON a.doc_id < b.doc_id",
     "core_negation": f"WITH x AS (SELECT source, sum(len(list_filter({_WORD.format('text')}, lambda w: lower(w) IN ('not', 'no', 'never', 'nor', 'none', 'nobody', 'nothing'))))::BIGINT AS n_negations FROM documents GROUP BY source) SELECT source, n_negations, round(1.0::DOUBLE / (1 + n_negations), 6) AS score FROM x",
     "keyword_judge": f"SELECT doc_id, {_J} AS score FROM documents",
     "judge_policies": f"SELECT source, round(avg({_J}), 6) AS mean, round(avg(({_J} > 0.5)::INT), 6) AS majority, max({_J}) AS max, min({_J}) AS min FROM documents GROUP BY source",
     "meta_eval": f"SELECT round(avg({_J}), 6) AS score, count(*) AS n FROM documents",
-    "sud_delta": f"WITH {_FIRST} SELECT source, {_JUDGE.format('nw')} - {_JUDGE.format('gt')} AS delta FROM g",
+    "sud_delta": f"WITH g AS (SELECT d.doc_id, substr(coalesce(d.text, ''), 1, 1000) AS gt, substr(coalesce(n.text, ''), 1, 1000) AS nw FROM documents d LEFT JOIN documents n ON n.doc_id = d.doc_id + 1) SELECT doc_id, {_JUDGE.format('nw')} - {_JUDGE.format('gt')} AS delta FROM g",
     "rare_overlap": f"SELECT item_id, round(len(list_intersect({_WORD.format('substr(d.text, 1, 1000)')}, {_WORD.format('b.text')})) / greatest(1, len({_WORD.format('b.text')}))::DOUBLE, 6) AS score FROM benchmark b JOIN documents d ON d.doc_id = b.item_id",
     "report": "SELECT (SELECT count(*) FROM embeddings) AS n_vectors, (SELECT max(len(embedding))::INT FROM embeddings) AS dim, (SELECT count(*) FROM documents) AS n_documents",
 }
 
-QUERIES = {f.__name__: f for f in (l2_normalize, cosine_topk, knn_edges_cosine, knn_edges_l2, knn_edges_l2sq, forman_edges, node_curvature, geo_audit, alpha_mix_topk, kappa_mix_topk, pure_curvature_topk, geodesic_topk, apsp_subset, ppr_scores, eval_cosine, eval_ppr, soft_knn, soft_knn_diagnostics, graph_distribution, heat_kernel, forman_soft_implemented, forman_soft_documented, info_nce, triplet_margin, ricci_hinge, geo_loss_forward, nms, core_negation, keyword_judge, judge_policies, meta_eval, sud_delta, rare_overlap, rare_rouge_l, report)}
+QUERIES = {f.__name__: f for f in (l2_normalize, cosine_topk, knn_edges_cosine, knn_edges_l2, knn_edges_l2sq, forman_edges, node_curvature, geo_audit, alpha_mix_topk, kappa_mix_topk, pure_curvature_topk, geodesic_topk, all_shortest_paths, ppr_scores, eval_cosine, eval_ppr, soft_knn, soft_knn_diagnostics, graph_distribution, heat_kernel, forman_soft_implemented, forman_soft_documented, info_nce, triplet_margin, ricci_hinge, geo_loss_forward, nms, core_negation, keyword_judge, judge_policies, meta_eval, sud_delta, rare_overlap, rare_rouge_l, report)}

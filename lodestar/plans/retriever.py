@@ -87,11 +87,9 @@ class GeoIndex:
             raise ValueError(f"unknown metric {metric!r}")
         if not alpha and not mix_kappa:
             return knn.topk(self.embeddings, queries, k)
-        # The mix needs every document's score: a projection over queries and documents, then a top-k of each query.
-        n = self.embeddings.count()
-        scored = knn.topk(self.embeddings, queries, n).join(self.node_curvature().withColumnRenamed("id", "vec_id"), "vec_id")
-        score = (1 - alpha) * F.col("score") + alpha * F.col("kappa_avg") if alpha else F.col("score") + mix_kappa * F.col("kappa_avg")
-        return graph.ranked(scored.drop("rank"), score, k)
+        # Curvature travels with the vectors, so blocks rank by the mixed score and only k of each go on.
+        mixed = self.embeddings.join(self.node_curvature().select(F.col("id").alias("vec_id"), ((alpha or mix_kappa) * F.col("kappa_avg")).alias("bias")), "vec_id")
+        return knn.topk(mixed, queries, k, scale=1 - alpha if alpha else 1.0, bias="bias")
 
     def save(self, path: str, corpus: DataFrame) -> str:
         return save_index(path, corpus, self.embeddings, self.edges)
