@@ -192,7 +192,10 @@ def distinct_vectors(embeddings: DataFrame, k: int = K) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([len(v) // 8 for v in groups], pa.int32()), pa.array(list(groups), pa.binary()), pa.array([sorted(x)[: k + 1] for x in groups.values()], pa.list_(pa.int64()))], names=["dim", "vec", "ids"])
 
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, _VECTOR)
-    merged = rows.groupBy("dim", "vec").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
+    own = rows.select("dim", "vec", F.explode("ids").alias("id")).distinct()
+    # Spark applies the limit before the shuffle as well, so a vector's group is k + 1 rows of each partition.
+    rank = F.row_number().over(Window.partitionBy("dim", "vec").orderBy("id"))
+    merged = own.withColumn("rank", rank).where(F.col("rank") <= k + 1).groupBy("dim", "vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     return stage(merged, "op8-vectors")[0]
 
 
