@@ -17,6 +17,7 @@ an empty one; columns other than doc_id and text are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -170,7 +171,8 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable), fp; one row for each document."""
+    """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable), fp, root (the component's
+    least fp); one row for each document."""
     docs, _ = stage(fingerprints(documents, shingle), "op4-prints")
     # Exact copies and any other documents of one fingerprint meet here, combined before the shuffle.
     distinct, _ = stage(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "op4-distinct")
@@ -178,17 +180,23 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
     named = distinct.join(root, distinct.fp == root.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     # A component may hold a third of all fingerprints: its least doc_id is an aggregate, and goes back by a join.
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = named.join(least, "root").select("fp", "component_id")
-    return docs.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
+    labels = named.join(least, "root").select("fp", "component_id", "root")
+    return docs.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp", "root")
 
 
 def representatives(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """documents without near copies: of each component the row with the least doc_id (a null one comes last), and of
     rows with one doc_id and one fingerprint a single one. All columns stay as they are."""
-    found, _ = stage(near_duplicates(documents, radius, shingle).select("doc_id", "component_id", "fp"), "near-duplicates")
+    found, _ = stage(near_duplicates(documents, radius, shingle).select("doc_id", "fp", "root"), "near-duplicates")
+    return one_of_each(documents, found, lambda text: fingerprint(text, shingle))
+
+
+def one_of_each(documents: DataFrame, found: DataFrame, print_of: Callable[[bytes], int]) -> DataFrame:
+    """found: staged doc_id, fp, root (the component), a row for each document; print_of: a text's fp, unsigned. Components
+    are told apart by root, as all that have no doc_id would share a null one."""
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
-    rows = found.groupBy("component_id", "doc_id", "fp").agg(F.count(F.lit(1)).alias("n"))
-    kept, _ = stage(rows.groupBy("component_id").agg(F.min(first).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.fp").alias("_fp")), "representatives")
+    rows = found.groupBy("root", "doc_id", "fp").agg(F.count(F.lit(1)).alias("n"))
+    kept, _ = stage(rows.groupBy("root").agg(F.min(first).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.fp").alias("_fp")), "representatives")
     repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     # As many rows are kept as there are components, so they are never broadcast, whatever the size: texts are dealt
     # once by their ids.
@@ -205,7 +213,7 @@ def representatives(documents: DataFrame, radius: int = RADIUS, shingle: int = S
 
     def printed(batches):
         for batch in batches:
-            prints = [fingerprint((t or "").encode(), shingle) for t in batch.column("text").to_pylist()]
+            prints = [print_of((t or "").encode()) for t in batch.column("text").to_pylist()]
             yield batch.append_column("_fp", pa.array(np.array(prints, np.uint64).view(np.int64)))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields) + ", _fp long"
@@ -216,4 +224,4 @@ def representatives(documents: DataFrame, radius: int = RADIUS, shingle: int = S
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("fp")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("fp", "root")

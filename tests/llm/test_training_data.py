@@ -222,6 +222,13 @@ def test_representatives(docs, none):
     assert simhash.representatives(none).count() == 0
 
 
+def test_representatives_of_unrelated_texts_without_ids(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in ("red", "green", "blue")]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (3, texts[2]), (3, texts[0] + " more")]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string"), radius=0).collect()
+    assert key((r["doc_id"], r["text"]) for r in kept) == key([rows[0], rows[1], rows[3], rows[4]])
+
+
 def test_packing(docs, none, library):
     got = packing.pack(packing.cut_documents(docs, capacity=256, with_ids=True), 256).collect()
     want = []
