@@ -4,7 +4,7 @@ Each stage is (name, function) and each function takes (spark, docs, sf_dir) and
 as Parquet and read again as the next stage's docs. All but the last return the columns of documents:
 
   quality_classifier  drops documents that the classifier scores below its threshold
-  near_duplicates     keeps one document of each near-duplicate component
+  near_duplicates     keeps one document of each component of texts with a five-word shingle similarity of 0.8 or more
   secret_scan         replaces secrets in texts; keeps every document
   source_mixing       repeats or drops documents so that sources come near their target weights
   packing             one row for each piece of a document, with its sequence and offset
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import mil, mixing, packing, secrets, simhash
+from lodestar.llm import mil, minhash, mixing, packing, secrets
 from lodestar.llm.common import stage
 
 
@@ -24,7 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.representatives(docs)
+    return minhash.representatives(docs, least=0.8, shingle=5)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

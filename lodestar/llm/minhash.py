@@ -1,0 +1,172 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find pairs, exact similarity decides.
+
+Every distinct word sequence has BANDS * ROWS least values of its hashed shingles. Texts that agree in all values of
+a band meet in a shuffle that carries no text, and each pair is then compared by its exact sets of shingles. A pair of
+similarity s meets with probability 1 - (1 - s**ROWS)**BANDS: 0.9996 at s = 0.8. In a band's group of up to ALL_PAIRS
+distinct texts all pairs are compared; in a larger one each text is compared with CENTRES of the group, other ones in
+every band, so that a large group costs no square. Components of the similar pairs are found in Spark.
+
+Defined results: words are lower-cased (ASCII) runs of anything but white space; with fewer words than a shingle has,
+the whole sequence is the one shingle; null texts and texts without words are copies of each other; null doc_ids are
+kept and rows with one doc_id are documents of their own. Word sequences are told apart by a 64-bit hash.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestar.llm.common import stage, text_bytes
+from lodestar.llm.components import components
+from lodestar.llm.simhash import one_of_each
+
+SHINGLE, LEAST = 5, 0.8
+BANDS, ROWS = 20, 5
+ALL_PAIRS, CENTRES = 32, 4
+#: Rows of the band table that a bucket gets about, and its bits at least.
+BUCKET_ROWS, BUCKET_BITS = 500_000, 5
+SEED = 42
+_MULTIPLY = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = np.random.default_rng(SEED + 1).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+def text_hash(text: bytes) -> int:
+    """Of the word sequence; 0 without words."""
+    words = text.lower().split()  # ASCII only, both
+    return xxhash.xxh64_intdigest(b" ".join(words), SEED) if words else 0
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each run of that many words, in order."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())], np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys of a text's shingles, each of its band's ROWS least values."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[i : i + 1024, None] * _MULTIPLY + _ADD).min(axis=0), out=least)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for j in range(ROWS):
+        out = _mixed(out ^ least[j::ROWS])
+    return out
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets, as sorted distinct values."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def group_pairs(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs (a < b) of prints to compare; rows (key, print) are distinct."""
+    order = np.lexsort((_mixed(prints ^ _mixed(keys)), keys))  # in each band a group has an order of its own
+    keys, prints = keys[order], prints[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([first, [len(keys)]]))
+    at, n = np.arange(len(keys)) - np.repeat(first, size), np.repeat(size, size)
+    left, right = [], []
+    for step in range(1, ALL_PAIRS):
+        ok = np.flatnonzero((n <= ALL_PAIRS) & (at >= step))
+        if not len(ok):
+            break
+        left.append(prints[ok - step])
+        right.append(prints[ok])
+    for centre in range(CENTRES):
+        ok = np.flatnonzero((n > ALL_PAIRS) & (at > centre))
+        left.append(prints[ok - at[ok] + centre])
+        right.append(prints[ok])
+    a, b = np.concatenate(left), np.concatenate(right)
+    pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pair[:, 0], pair[:, 1]
+
+
+def prints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (hash of the word sequence as a signed long), keys."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                texts = part.column("text").to_pylist()
+                fp = np.fromiter(map(text_hash, texts), np.uint64, len(texts))
+                keys = np.array([band_keys(shingles(t, shingle)) for t in texts], np.uint64).reshape(-1).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(keys))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64)), lists], names=["doc_id", "fp", "keys"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(documents).alias("text")).mapInArrow(run, "doc_id long, fp long, keys array<long>")
+
+
+def candidates(printed: DataFrame) -> DataFrame:
+    """Distinct (a, b): pairs of fp that share a band."""
+    bands = printed.select("fp", F.explode("keys").alias("key")).distinct()  # exact copies are combined before the shuffle
+    bits, n = BUCKET_BITS, printed.count() * BANDS
+    while n > BUCKET_ROWS << bits and bits < 20:
+        bits += 1
+
+    def meet(key, table):
+        a, b = group_pairs(table.column("key").to_numpy().view(np.uint64), table.column("fp").to_numpy().view(np.uint64))
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    bucket = F.col("key").bitwiseAND((1 << bits) - 1).cast("int").alias("bucket")
+    return bands.select(bucket, "key", "fp").repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+
+
+def similar(documents: DataFrame, pairs: DataFrame, least: float = LEAST, shingle: int = SHINGLE) -> DataFrame:
+    """The pairs (a, b) whose texts have at least that similarity."""
+
+    def named(batches):
+        for batch in batches:
+            fp = np.fromiter(map(text_hash, batch.column("text").to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), batch.column("text")], names=["fp", "text"])
+
+    def compared(batches):
+        last, mine = None, None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                keep = []
+                for a, x, y in zip(part.column("a").to_pylist(), part.column("x").to_pylist(), part.column("y").to_pylist()):
+                    if a != last:
+                        last, mine = a, np.unique(shingles(x, shingle))
+                    keep.append(jaccard(mine, np.unique(shingles(y, shingle))) >= least)
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    nodes, _ = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "pair-nodes")
+    texts = documents.select(text_bytes(documents).alias("text")).mapInArrow(named, "fp long, text binary")
+    needed, _ = stage(texts.join(nodes.hint("merge"), F.col("fp") == F.col("node"), "left_semi").dropDuplicates(["fp"]), "pair-texts")
+    x = needed.select(F.col("fp").alias("a"), F.col("text").alias("x"))
+    y = needed.select(F.col("fp").alias("b"), F.col("text").alias("y"))
+    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
+
+
+def near_duplicates(documents: DataFrame, least: float = LEAST, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp, root (the component's least fp), staged; one row for each document."""
+    printed, _ = stage(prints(documents, shingle), "minhash-prints")
+    pairs, _ = stage(candidates(printed), "minhash-pairs")
+    root = components(similar(documents, pairs, least, shingle))
+    rows = printed.select("doc_id", "fp").join(root, F.col("fp") == root.node, "left")
+    return stage(rows.select("doc_id", "fp", F.coalesce("root", "fp").alias("root")), "near-duplicates")[0]
+
+
+def representatives(documents: DataFrame, least: float = LEAST, shingle: int = SHINGLE) -> DataFrame:
+    """One document of each component, as simhash.one_of_each chooses it; all columns stay as they are."""
+    return one_of_each(documents, near_duplicates(documents, least, shingle), text_hash)

@@ -32,6 +32,19 @@ def test_stages(spark):
     assert sizes[0] > sizes[1] == sizes[2] and len(corpus_pipeline.STAGES) == 5
 
 
+def test_near_copies_of_similarity_08_are_removed(spark):
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    texts = [" ".join(f"w{k}x{i}" for i in range(100)) for k in range(20)]
+    near = [" ".join("changed" if i in (30, 70) else w for i, w in enumerate(t.split())) for t in texts]
+    far = [" ".join("changed" if i % 12 == 6 else w for i, w in enumerate(t.split())) for t in texts]
+    assert all(len(grams(a) & grams(b)) / len(grams(a) | grams(b)) >= 0.8 for a, b in zip(texts, near))
+    assert all(len(grams(a) & grams(b)) / len(grams(a) | grams(b)) < 0.6 for a, b in zip(texts, far))
+    rows = [(i if i % 3 else None, t) for i, t in enumerate(texts + near + far)]
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    got = [r["text"] for r in kept.collect()]
+    assert len(got) == 40 and set(far) < set(got) and all((a in got) != (b in got) for a, b in zip(texts, near))
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     full = out.groupBy("sequence_id").agg({"length": "sum", "offset": "min"})
