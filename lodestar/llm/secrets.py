@@ -1,6 +1,7 @@
 """Secret scans: a random forest removes the false positives among candidates, in DataFrame functions only.
 
-Candidates are runs of credential characters of ``LEAST`` or more with a digit, found in the whole text. Features are
+Candidates are found in the whole text: runs of credential characters of ``LEAST`` or more with a digit, values of any
+length that are assigned to a credential word or quoted behind one, and private-key blocks. Features are
 their length, transitions between kinds of characters, dictionary coverage, marks of paths and addresses, and the
 neighbouring words. The forest is trained by Spark ML on labelled findings (``labelled_findings`` makes a bounded,
 fixed set; callers may pass their own table of text, start, stop, label) and then written out as a column expression
@@ -29,7 +30,19 @@ MARK = "[SECRET]"
 #: Code points on either side that neighbouring words are taken from.
 NEAR = 40
 _RUN = "[A-Za-z0-9_+/.~@%-]"
-CANDIDATE = rf"(?<!{_RUN})(?=[A-Za-z_+/.~@%-]*[0-9]){_RUN}{{{LEAST},}}+={{0,2}}"
+CREDENTIAL = r"(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(orization)?|bearer|credential|private[_-]?key)"
+#: Private-key blocks, to their end line or as far as their lines go.
+BLOCK = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[\sA-Za-z0-9+/=:,.()@<>_\\-]*?-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----|(?:\s{1,4}[A-Za-z0-9+/=]{16,}){0,400})"
+_NAME, _SIGN = rf"(?i:{CREDENTIAL})[\"'\]]{{0,2}}\s{{0,3}}", r"(?::=|=>|={1,3}|:)\s{0,3}"
+#: Values of any length and characters: quoted behind a credential word, assigned to one, or with a digit or sign behind "is".
+ASSIGNED = (
+    rf"(?<=\")(?<={_NAME}(?:(?i:is)\s{{1,3}}|{_SIGN})?\")[^\"\n]++(?:(?<=\\)\"[^\"\n]++){{0,100}}(?=\")"
+    rf"|(?<=')(?<={_NAME}(?:(?i:is)\s{{1,3}}|{_SIGN})?')[^'\n]++(?:(?<=\\)'[^'\n]++){{0,100}}(?=')"
+    # The short looks behind come first, as the long ones are slow and most words are not behind a sign.
+    rf"|(?<=[:=>\s])(?=[^\s\"':=])(?:(?<=[:=>]\s{{0,3}})(?!(?i:bearer|basic)\s)(?<={_NAME}{_SIGN})|(?<=[rRcC]\s)(?<=(?i:bearer|basic)\s)(?<={_NAME}{_SIGN}(?i:bearer|basic)\s)|(?<=[iI][sS]\s{{1,3}})(?<={_NAME}(?i:is)\s{{1,3}})(?=\S*[0-9!#$%&*@^+]))\S+?(?=[.,;)\]}}\"']*(?:\s|$))"
+)
+RUN = rf"(?<!{_RUN})(?=[A-Za-z_+/.~@%-]*[0-9]){_RUN}{{{LEAST},}}+={{0,2}}"
+CANDIDATE = f"{BLOCK}|{ASSIGNED}|{RUN}"
 
 WORDS = (
     "account address admin alpha archive article asset backup banner batch beta blog book build cache cart catalog chapter class client code color "
@@ -41,10 +54,11 @@ WORDS = (
     "system table target task team temp test text thread time title total train update upload user utils value version video view web week west "
     "widget window world year"
 ).split()
-CREDENTIAL = r"(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(orization)?|bearer|credential|private[_-]?key)"
 PUBLIC = r"(commit|sha-?(1|256|512)|md5|checksum|digest|hash|etag|uuid|guid|revision|build|version|isbn|doi|order|invoice|tracking|card|phone|tel|ip|example|sample|placeholder|dummy|https?:)"
 
-FEATURES = ("length", "transitions", "digits", "upper", "letters", "hex", "words", "longest_run", "path", "address", "dashes", "credential_before", "public_before", "assigned", "quoted", "prefix")
+FEATURES = ("length", "transitions", "digits", "upper", "letters", "hex", "words", "longest_run", "path", "address", "dashes", "credential_before", "public_before", "assigned", "quoted", "prefix", "signs", "empty", "block")
+#: Values that stand for a secret or for none: words of code and forms, references, masks.
+EMPTY = r"(?i)^(null|none|nil|true|false|yes|no|undefined|empty|required|optional|string|str|text|int|invalid|incorrect|wrong|missing|expired|disabled|enabled|hidden|redacted|secret|password|token|changed|\[secret\]|your.*|my.*|enter.*|example.*|[*x.•_-]+|[$%{<].*|(os|process|env|self|this|config|settings|getenv)\b.*|[a-z_.]+\(.*|[0-9])$"
 
 
 def _share(value: Column, pattern: str) -> Column:
@@ -72,6 +86,9 @@ def features(value: Column, before: Column, after: Column) -> list[Column]:
         flag(before, r"[:=]\s*[\"']?$"),
         F.when(before.rlike("[\"']$") & after.rlike("^[\"']"), 1.0).otherwise(0.0),
         flag(value, r"^(AKIA[A-Z0-9]{16}|ASIA[A-Z0-9]{16}|gh[pousr]_|github_pat_|xox[abpr]-|sk_live_|rk_live_|sk-|AIza|glpat-|eyJ)"),
+        _share(value, r"[^A-Za-z0-9\s]"),
+        flag(value, EMPTY),
+        flag(value, "^-----BEGIN [A-Z0-9 ]*PRIVATE KEY"),
     ]
 
 
@@ -80,6 +97,7 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
     key = F.col("id").cast("string")
     digest = lambda salt: F.sha2(F.concat(F.lit(salt), key), 512)
     base = F.regexp_replace(F.base64(F.unhex(digest("b"))), "[=\\s]", "")
+    letters = F.regexp_replace(base, "[^A-Za-z]", "")
     upper = F.regexp_replace(F.upper(base), "[^A-Z0-9]", "")
     word = lambda salt: F.element_at(F.array(*[F.lit(w) for w in WORDS]), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(WORDS))) + 1).cast("int"))
     number = lambda salt, most: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(most)).cast("string")
@@ -88,15 +106,21 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
     mark = lambda x: cat("\x01", x, "\x02")
     some = lambda n: F.substring(base, 1, n)
     uuid = cat(hex_(8), "-", F.substring(digest("h"), 9, 4), "-4", F.substring(digest("h"), 13, 3), "-a", F.substring(digest("h"), 16, 3), "-", F.substring(digest("h"), 20, 12))
+    pick_of = lambda *x: F.element_at(F.array(*[F.lit(y) for y in x]), (F.pmod(F.xxhash64(F.lit("o"), "id"), F.lit(len(x))) + 1).cast("int"))
     secret = [
         cat("password=", mark(hex_(18))), cat("token = \"", mark(hex_(40)), "\""), cat(word("p"), " ", mark(cat("AKIA", F.substring(upper, 1, 16)))), mark(cat("AKIA", F.substring(upper, 3, 16))),
         cat("secret: ", mark(some(40))), cat("api_key = '", mark(some(32)), "'"), mark(cat("ghp_", F.regexp_replace(some(40), "[+/]", "x"))), cat("Bearer ", mark(some(60))), cat("pwd=", mark(some(14))), cat("key ", mark(cat("sk_live_", hex_(24)))),
+        cat("password=", mark(cat(word("a"), number("n", 99)))), cat("pwd: ", mark(cat(F.initcap(word("a")), number("n", 9), "!", F.substring(letters, 1, 4)))), cat("password = \"", mark(cat(F.substring(base, 1, 5), "&", number("n", 99), "x!", F.substring(base, 9, 3))), "\""),
+        cat("password=\"", mark(cat(F.lower(F.substring(letters, 1, 3)), word("a"), word("b"), word("c"))), "\""), cat("api_key=\"", mark(F.substring(letters, 1, 30)), "\""), cat("passwd: ", mark(F.substring(letters, 1, 20))), cat("secret = '", mark(F.lower(F.substring(letters, 1, 8))), "'"),
+        cat("password is ", mark(cat(word("a"), number("n", 999)))), cat("DB_PASSWORD=", mark(cat(F.substring(base, 1, 4), "#", F.substring(base, 7, 4), "$"))), mark(cat("-----BEGIN RSA PRIVATE KEY-----\n", some(64), "\n-----END RSA PRIVATE KEY-----")), mark("-----BEGIN PRIVATE KEY-----"),
     ]
     plain = [
         cat("commit ", mark(hex_(40))), cat("sha256: ", mark(hex_(64))), cat("uuid ", mark(uuid)), mark(cat("/", word("a"), "/", word("b"), "/", word("c"), number("n", 999), ".", hex_(2))), mark(cat("https-", word("a"), ".", word("b"), number("n", 99), ".com/", word("c"), "/", number("m", 99999))),
         mark(cat(word("a"), "_", word("b"), "_", word("c"), "_", number("n", 9999))), mark(cat(word("a"), ".", number("n", 99), "@mail", number("m", 9), ".", word("b"), ".com")), cat("+1 (", number("n", 999), ") ", mark(cat("555-2486-", number("m", 99999)))),
         mark(cat("4", F.lpad(number("n", 999999999), 9, "3"), F.lpad(number("m", 999999), 6, "1"))), mark(cat(F.lpad(number("a", 255), 3, "1"), ".", F.lpad(number("b", 255), 3, "1"), ".", F.lpad(number("c", 255), 3, "1"), ".", number("d", 255))),
-        mark(cat(word("a"), "-", word("b"), "-", number("n", 99), ".", number("m", 99), ".", number("o", 99))), cat("password=", mark(cat(word("a"), word("b"), word("c"), number("n", 99)))), cat("md5 ", mark(hex_(32))), mark(cat("20", number("a", 99), "-", number("b", 12), "-", number("c", 28), "T", number("d", 99), "Z", hex_(3))),
+        mark(cat(word("a"), "-", word("b"), "-", number("n", 99), ".", number("m", 99), ".", number("o", 99))), cat("password=", mark(cat(word("a"), word("b"), word("c"), number("n", 99)))), cat("md5 ", mark(hex_(32))), cat("password: ", mark(word("a"))), cat("token = ", mark(word("a"))), cat("auth: ", mark(pick_of("null", "true", "none", "required", "false", "disabled", "string", "incorrect", "expired"))), cat("password=", mark(cat("${", F.upper(word("a")), "_PASSWORD}"))), cat("password: \"", mark(pick_of("********", "your password", "<password>", "xxxxxxxx", "required", "example")), "\""),
+        cat("secret = ", mark(cat("os.environ[", word("a"), "]"))), cat("token: ", mark(F.substring(number("n", 9), 1, 1))), cat("token = ", mark(cat("get_", word("a"), "()"))), cat("the pass: ", mark(cat(word("a"), "ed"))),
+        mark(cat("20", number("a", 99), "-", number("b", 12), "-", number("c", 28), "T", number("d", 99), "Z", hex_(3))),
     ]
     pick = lambda options: F.element_at(F.array(*options), (F.pmod(F.col("id").bitwiseAND(0xFFFFFF) / 2, F.lit(len(options))) + 1).cast("int"))
     line = cat(word("x"), " ", word("y"), " ", F.when(F.col("id") % 2 == 0, pick(secret)).otherwise(pick(plain)), " ", word("z"), " ", word("w"))
@@ -146,12 +170,14 @@ def scan(text: Column, forest: list, threshold: float = THRESHOLD) -> Column:
             steps = F.zip_with(F.slice(gaps, 1, F.size(values)), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
             empty = F.expr("cast(array() as array<struct<start:int,stop:int>>)")
             ends = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")), lambda s, x: F.struct((s["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + F.length(x["gap"])).alias("start"), (s["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("stop")))).alias("out")))["out"]
-            return F.transform(F.arrays_zip(values.alias("value"), F.slice(gaps, 1, F.size(values)).alias("before"), F.slice(gaps, 2, F.size(values)).alias("after"), ends.alias("span")), judged)
+            return F.transform(F.arrays_zip(values.alias("value"), F.slice(gaps, 2, F.size(values)).alias("after"), ends.alias("span")), judged)
 
         return let(F.split(text, CANDIDATE), around)
 
     def judged(x: Column) -> Column:
-        near = features(x["value"], F.right(x["before"], F.lit(NEAR)), F.left(x["after"], F.lit(NEAR)))
+        # Of the whole text, as in training: a candidate may begin where another one ends.
+        start = x["span"]["start"]
+        near = features(x["value"], F.substring(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR))), F.left(x["after"], F.lit(NEAR)))
         score = let(F.array(*[c.cast("double") for c in near]), lambda f: probability(forest, lambda i: f[i]))
         return let(score, lambda s: F.struct(x["span"]["start"].alias("start"), x["span"]["stop"].alias("stop"), x["value"].alias("value"), s.alias("score"), (s >= threshold).alias("is_secret")))
 
