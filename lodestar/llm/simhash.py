@@ -121,7 +121,10 @@ def _stars(prints: np.ndarray, left: np.ndarray, fixed: int, half: int, at_once:
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Distinct fingerprints (fp) -> links (a, b), enough of them to connect all that lie within the radius."""
+    """Distinct fingerprints (fp) -> links (a, b), enough of them to connect all that lie within the radius. Even radii
+    only: with an odd one, pairs at just that distance have no common variant within half of it."""
+    if radius % 2:
+        raise ValueError(f"radius must be even, not {radius}")
     half, buckets_bits, n = radius // 2, ROUTE_BITS, prints.count()
     while n * len(_flips(list(range(buckets_bits)), half)) > BUCKET_PRINTS << buckets_bits and buckets_bits < 20:
         buckets_bits += 2

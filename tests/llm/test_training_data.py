@@ -204,6 +204,11 @@ def test_links_of_random_fingerprints(spark):
     assert sorted(map(sorted, same.values())) == sorted(map(sorted, want.values()))
 
 
+def test_odd_radii_are_rejected():
+    with pytest.raises(ValueError):
+        simhash.links(None, 3)
+
+
 def test_split_buckets_find_the_same_stars():
     r = np.random.default_rng(1)
     p = np.unique(r.integers(0, 1 << 63, 40, dtype=np.uint64)[r.integers(0, 40, 400)] ^ (np.uint64(1) << r.integers(0, 64, 400).astype(np.uint64)))
