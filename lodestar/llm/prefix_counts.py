@@ -3,8 +3,9 @@
 With n(p) the tokens of prefix p, a prefix that ends at white space has n = n(prefix one chunk shorter) + tokens of
 the chunk, since no token spans white space; the chunk's own count comes from a bounded table, so that each distinct
 chunk is encoded about once. A prefix that ends within a chunk adds the count of the chunk's own prefix
-(``chunk_prefixes``, the same recurrence by characters). The table of a text is stored as its counts' differences.
-Truncation ("how many words fit 2048 tokens?") and budget questions then are look-ups and no text is encoded again.
+(``chunk_prefixes``, which encodes each of them anew). The table of a text is stored as its counts' differences.
+Truncation ("how many words fit 2048 tokens?") and budget questions at chunk ends then are look-ups and no text is
+encoded again; answers within a chunk are not in the table.
 
 Defined results: a null text counts as empty, with 0 bytes, 0 tokens and the prefixes [0]; null or repeated doc_ids
 are kept as they are, one row out for each row in; an empty table gives an empty one; other columns are ignored.
@@ -23,7 +24,7 @@ LIMIT = 2048
 
 
 def chunk_prefixes(chunk: str, vocabulary: str) -> list[int]:
-    """Tokens of chunk[:k] for k = 0 to its length: the last unit of a chunk is the only one that a cut changes."""
+    """Tokens of chunk[:k] for k = 0 to its length, each prefix encoded anew."""
     encoder = tokens.encoder(vocabulary)
     return [0] + [len(encoder.chunk_ids(chunk[:k])) for k in range(1, len(chunk) + 1)]
 
