@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,17 @@ def text_bytes(df: DataFrame, column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
+def slices(batch, rows: int = 256, size: int = 2 << 20):
+    """A batch of texts in parts of at most so many rows and about so many bytes (one text at least)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < batch.num_rows:
+        before = int(ends[lo - 1]) if lo else 0
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def total_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of all texts, to size partitions by."""
     return df.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import tokens
-from lodestar.llm.common import stage
+from lodestar.llm.common import slices, stage
 
 CAPACITY = 2048
 END_ID = 0
@@ -38,8 +38,7 @@ def _cut(vocabulary: str, end_id: int, capacity: int, with_ids: bool):
     def run(batches):
         part, encoder = TaskContext.get().partitionId(), tokens.encoder(vocabulary)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                rows = batch.slice(lo, 256)
+            for rows in slices(batch):
                 ids, sizes = encoder.encode(rows.column("text").to_pylist())
                 ends = np.cumsum(sizes)
                 ids = np.insert(ids, ends, end_id).astype("<u4")
@@ -51,6 +50,7 @@ def _cut(vocabulary: str, end_id: int, capacity: int, with_ids: bool):
                         out.append((part, doc_id, k, start, n, zlib.crc32(own)) + ((bytes(own),) if with_ids else ()))
                     at += size
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        encoder.release()
 
     return run
 

@@ -11,6 +11,7 @@ Files (Parquet containers, written by Spark's committer into ``path``):
   shards   shard, start, n_tokens, n_documents
   blocks   shard, block, n_tokens, lanes, step_tokens, payload_crc32, ids_crc32, checkpoints, payload, and the
            directory of the document pieces within the block: doc_ids, doc_seqs, doc_starts, piece_ends
+Checksums are of ids as little-endian unsigned 32-bit numbers, whatever the width of the ids on the way.
 
 Defined results: a null text counts as empty and still gets the end id; null doc_ids come first; rows of one doc_id
 come in the order of a hash of their text, then of the text, and each row is a document of its own; an empty table
@@ -24,20 +25,25 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import tokens
-from lodestar.llm.common import drop, new_path, stage, total_bytes
+from lodestar.llm.common import drop, new_path, slices, stage, total_bytes
 
 PRECISION = 22
 LOW = np.uint64(1 << 31)
 LANES = 32
 STEP_TOKENS = 256
 BLOCK_TOKENS = 32 * 1024
-#: Bytes of text a shard holds about.
-SHARD_BYTES = 24 << 20
-
+#: Bytes of text a shard holds about. A task gets a shard as one Arrow batch, so this bounds its memory.
+SHARD_BYTES = 8 << 20
+#: Shards whose starts are summed in one task; their sums are summed in another.
+SHARD_GROUP = 4096
+#: Blocks that are coded side by side.
+AT_ONCE = 16
+
+#: ids: 16-bit numbers if they take 2 * n_tokens bytes, else 32-bit ones.
 _BLOCK = "shard int, block int, n_tokens int, ids binary, doc_ids array<long>, doc_seqs array<long>, doc_starts array<long>, piece_ends array<int>"
 _CODED = "shard int, block int, n_tokens int, lanes int, step_tokens int, payload_crc32 long, ids_crc32 long, checkpoints binary, payload binary, doc_ids array<long>, doc_seqs array<long>, doc_starts array<long>, piece_ends array<int>"
 
@@ -68,7 +74,7 @@ def encode_blocks(blocks: list[np.ndarray], frequency: np.ndarray, lower: np.nda
     their first symbol at the end; the reader cuts that off."""
     steps = max(-(-len(b) // lanes) for b in blocks)
     n = len(blocks)
-    grid = np.empty((n, steps * lanes), np.int64)
+    grid = np.empty((n, steps * lanes), np.int32)
     for i, b in enumerate(blocks):
         grid[i, : len(b)] = b
         grid[i, len(b) :] = b[0]
@@ -155,23 +161,23 @@ def _tokenize(vocabulary: str, end_id: int, block_tokens: int):
 
         def flush():
             nonlocal held, filled, pieces, block
-            row = {"shard": shard, "block": block, "n_tokens": filled, "ids": np.concatenate(held).astype("<u4").tobytes()}
+            row = {"shard": shard, "block": block, "n_tokens": filled, "ids": _packed(np.concatenate(held))}
             row |= {k: [p[i] for p in pieces] for i, k in enumerate(("doc_ids", "doc_seqs", "doc_starts", "piece_ends"))}
             held, filled, pieces, block = [], 0, [], block + 1
             return row
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in slices(batch):
                 ids, sizes = encoder.encode(part.column("text").to_pylist())
                 ends = np.cumsum(sizes)
                 ids = np.insert(ids, ends, end_id)
+                ids = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids
                 rows, at = [], 0
                 for doc_id, size in zip(part.column("doc_id").to_pylist(), (sizes + 1).tolist()):
                     done = 0
                     while done < size:
                         take = min(size - done, block_tokens - filled)
-                        held.append(ids[at + done : at + done + take])
+                        held.append(ids[at + done : at + done + take].copy())  # else all of ids stays
                         filled, done = filled + take, done + take
                         pieces.append((doc_id, seq, start, filled))
                         if filled == block_tokens:
@@ -181,10 +187,19 @@ def _tokenize(vocabulary: str, end_id: int, block_tokens: int):
                     yield pa.RecordBatch.from_pylist(rows, schema=_arrow(_BLOCK))
         if filled:
             yield pa.RecordBatch.from_pylist([flush()], schema=_arrow(_BLOCK))
+        encoder.release()
 
     return run
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    return ids.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _unpacked(ids: bytes, n_tokens: int) -> np.ndarray:
+    return np.frombuffer(ids, "<u2" if len(ids) == 2 * n_tokens else "<u4")
+
+
 def _arrow(ddl: str) -> pa.Schema:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
     return pa.schema([(f.rsplit(" ", 1)[0].strip(), kinds[f.rsplit(" ", 1)[1]]) for f in ddl.split(", ")])
@@ -193,8 +208,8 @@ def _arrow(ddl: str) -> pa.Schema:
 def _count(batches):
     total = np.zeros(1, np.int64)
     for batch in batches:
-        for ids in batch.column("ids").to_pylist():
-            here = np.bincount(np.frombuffer(ids, "<u4"))
+        for ids, n in zip(batch.column("ids"), batch.column("n_tokens").to_pylist()):
+            here = np.bincount(_unpacked(ids.as_py(), n))
             if len(here) > len(total):
                 here, total = total, here.astype(np.int64)
             total[: len(here)] += here
@@ -206,11 +221,11 @@ def _encode(symbols: list[int], frequencies: list[int], lanes: int, step_tokens:
     def run(batches):
         _, frequency, lower = _slots(np.array(symbols, np.int64), np.array(frequencies, np.uint64))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 32):
-                rows = batch.slice(lo, 32).to_pylist()
-                coded = encode_blocks([np.frombuffer(r["ids"], "<u4") for r in rows], frequency, lower, lanes, step_tokens)
-                for r, (checks, payload) in zip(rows, coded):
-                    r |= {"lanes": lanes, "step_tokens": step_tokens, "ids_crc32": zlib.crc32(r.pop("ids")), "payload_crc32": zlib.crc32(checks + payload), "checkpoints": checks, "payload": payload}
+            for lo in range(0, batch.num_rows, AT_ONCE):
+                rows = batch.slice(lo, AT_ONCE).to_pylist()
+                blocks = [_unpacked(r.pop("ids"), r["n_tokens"]) for r in rows]
+                for r, own, (checks, payload) in zip(rows, blocks, encode_blocks(blocks, frequency, lower, lanes, step_tokens)):
+                    r |= {"lanes": lanes, "step_tokens": step_tokens, "ids_crc32": zlib.crc32(own.astype("<u4").tobytes()), "payload_crc32": zlib.crc32(checks + payload), "checkpoints": checks, "payload": payload}
                 yield pa.RecordBatch.from_pylist(rows, schema=_arrow(_CODED))
 
     return run
@@ -221,34 +236,40 @@ def write_token_files(documents: DataFrame, path: str, vocabulary: str | None =
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     n_shards = max(1, -(-total_bytes(docs) // shard_bytes))
-    order = ["doc_id", F.xxhash64("text"), "text"]
-    dealt = docs.repartitionByRange(n_shards, *order[:2]).sortWithinPartitions(*order)
-    raw, staged = stage(dealt.mapInArrow(_tokenize(vocabulary or tokens.default_path(), end_id, block_tokens), _BLOCK), "op1-ids")
+    # The last key parts rows that are equal in all else, however many there are.
+    order = ["doc_id", "_hash", "_part"]
+    dealt = docs.withColumns({"_hash": F.xxhash64("text"), "_part": F.rand(5)}).repartitionByRange(n_shards, *order).sortWithinPartitions("doc_id", "_hash", "text")
+    raw, staged = stage(dealt.select("doc_id", "text").mapInArrow(_tokenize(vocabulary or tokens.default_path(), end_id, block_tokens), _BLOCK), "op1-ids")
     # One row per symbol, so as many as the vocabulary has at most.
-    counted = raw.select("ids").mapInArrow(_count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).orderBy("symbol").collect()
+    counted = raw.select("ids", "n_tokens").mapInArrow(_count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).orderBy("symbol").collect()
     symbols = [r["symbol"] for r in counted]
     scaled = scaled_frequencies(np.array([r["n"] for r in counted], np.int64)).tolist() if counted else []
     spark.createDataFrame(list(zip(symbols, map(int, scaled))), "symbol long, frequency long").coalesce(1).write.parquet(f"{path}/symbols")
     raw.mapInArrow(_encode(symbols, scaled, lanes, step_tokens), _CODED).write.option("compression", "none").parquet(f"{path}/blocks")
-    sizes = spark.read.parquet(f"{path}/blocks").groupBy("shard").agg(F.sum(F.col("n_tokens").cast("long")).alias("n_tokens"), F.max(F.array_max("doc_seqs") + 1).alias("n_documents")).orderBy("shard").collect()
-    ends = np.cumsum([r["n_tokens"] for r in sizes]).tolist()
-    rows = [(r["shard"], int(e - r["n_tokens"]), r["n_tokens"], r["n_documents"]) for r, e in zip(sizes, ends)]
-    spark.createDataFrame(rows, "shard int, start long, n_tokens long, n_documents long").coalesce(1).write.parquet(f"{path}/shards")
+    _shard_starts(spark.read.schema(_CODED).parquet(f"{path}/blocks")).write.parquet(f"{path}/shards")
     drop(spark, staged)
     return path
 
 
-def read_blocks(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
-    """The files' ids: shard, block, ids (little-endian unsigned 32-bit) and the directory of each block. A wrong
-    checksum raises an error that names the block."""
+def _shard_starts(blocks: DataFrame, group: int = SHARD_GROUP) -> DataFrame:
+    """shard, start, n_tokens, n_documents: running sums within groups of shards, and of the groups before."""
+    sizes = blocks.groupBy("shard").agg(F.sum(F.col("n_tokens").cast("long")).alias("n_tokens"), F.max(F.array_max("doc_seqs") + 1).alias("n_documents")).withColumn("g", F.floor(F.col("shard") / group))
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sizes.groupBy("g").agg(F.sum("n_tokens").alias("n_tokens")).select("g", before(Window.orderBy("g")).alias("base"))
+    within = sizes.withColumn("own", before(Window.partitionBy("g").orderBy("shard")))
+    return within.join(groups, "g").select("shard", (F.col("base") + F.col("own")).alias("start"), "n_tokens", "n_documents")
+
+
+def _decoded(spark: SparkSession, path: str, check: bool):
+    """A function from batches of coded blocks to lists of (row, ids), some blocks at a time."""
     table = spark.read.parquet(f"{path}/symbols").orderBy("symbol").collect()  # the vocabulary's size at most
     symbols, frequencies = [r["symbol"] for r in table], [r["frequency"] for r in table]
 
     def run(batches):
         symbol, frequency, lower = _slots(np.array(symbols, np.int64), np.array(frequencies, np.uint64))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 32):
-                rows = batch.slice(lo, 32).to_pylist()
+            for lo in range(0, batch.num_rows, AT_ONCE):
+                rows, out = batch.slice(lo, AT_ONCE).to_pylist(), []
                 if check and (bad := [(r["shard"], r["block"]) for r in rows if zlib.crc32(r["checkpoints"] + r["payload"]) != r["payload_crc32"]]):
                     raise ValueError(f"damaged payload in (shard, block) {bad}")
                 groups: dict[tuple, list] = {}
@@ -256,10 +277,23 @@ def read_blocks(spark: SparkSession, path: str, check: bool = True) -> DataFrame
                     groups.setdefault((r["lanes"], r["step_tokens"]), []).append(r)
                 for (lanes, step), group in groups.items():
                     for r, ids in zip(group, decode_blocks([(r["checkpoints"], r["payload"], r["n_tokens"]) for r in group], symbol, frequency, lower, lanes, step)):
-                        r["ids"] = ids.astype("<u4").tobytes()
-                        if check and zlib.crc32(r["ids"]) != r["ids_crc32"]:
+                        ids = ids.astype("<u4").tobytes()
+                        if check and zlib.crc32(ids) != r["ids_crc32"]:
                             raise ValueError(f"damaged ids in (shard, block) {(r['shard'], r['block'])}")
-                yield pa.RecordBatch.from_pylist([{k: r[k] for k in _arrow(_BLOCK).names} for r in rows], schema=_arrow(_BLOCK))
+                        out.append((r, ids))
+                yield out
+
+    return run
+
+
+def read_blocks(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
+    """The files' ids: shard, block, ids (little-endian unsigned 32-bit) and the directory of each block. A wrong
+    checksum raises an error that names the block."""
+    decoded = _decoded(spark, path, check)
+
+    def run(batches):
+        for found in decoded(batches):
+            yield pa.RecordBatch.from_pylist([{k: ids if k == "ids" else r[k] for k in _arrow(_BLOCK).names} for r, ids in found], schema=_arrow(_BLOCK))
 
     return spark.read.schema(_CODED).parquet(f"{path}/blocks").mapInArrow(run, _BLOCK)
 
@@ -267,17 +301,23 @@ def read_blocks(spark: SparkSession, path: str, check: bool = True) -> DataFrame
 _PIECE = "doc_id long, shard int, doc_seq long, doc_start long, block int, length long, crc long"
 
 
-def _pieces(batches):
-    schema = _arrow(_PIECE)
-    for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            lo = 0
-            for doc_id, seq, start, hi in zip(r["doc_ids"], r["doc_seqs"], r["doc_starts"], r["piece_ends"]):
-                rows.append((doc_id, r["shard"], seq, start, r["block"], hi - lo, zlib.crc32(r["ids"][4 * lo : 4 * hi])))
-                lo = hi
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+def read_pieces(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
+    """Each document's piece in each block: length, and CRC-32 of its decoded ids. Decoding and digest run in one worker."""
+    decoded = _decoded(spark, path, check)
+
+    def run(batches):
+        schema = _arrow(_PIECE)
+        for found in decoded(batches):
+            rows = []
+            for r, ids in found:
+                lo = 0
+                for doc_id, seq, start, hi in zip(r["doc_ids"], r["doc_seqs"], r["doc_starts"], r["piece_ends"]):
+                    rows.append((doc_id, r["shard"], seq, start, r["block"], hi - lo, zlib.crc32(ids[4 * lo : 4 * hi])))
+                    lo = hi
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return spark.read.schema(_CODED).parquet(f"{path}/blocks").mapInArrow(run, _PIECE)
 
 
 def _times(matrix: list[int], vector: int) -> int:
@@ -315,7 +355,7 @@ def crc32_join(a: int, b: int, length: int) -> int:
 
 def document_digests(spark: SparkSession, path: str) -> DataFrame:
     """From the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    pieces = read_blocks(spark, path).mapInArrow(_pieces, _PIECE)
+    pieces = read_pieces(spark, path)
     whole = pieces.groupBy("shard", "doc_seq").agg(F.first("doc_id").alias("doc_id"), F.first("doc_start").alias("doc_start"), F.sum("length").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("block", "length", "crc"))).alias("parts"))
 
     def join(batches):

@@ -15,7 +15,7 @@ from itertools import islice
 import numpy as np
 
 #: Entries of each table; one takes about 200 bytes.
-MAX_PIECES = 300_000
+MAX_PIECES = 150_000
 #: str.split() also splits at these, which are no white space to the library.
 _CONTROL = re.compile("[\x1c-\x1f]")
 _SAFE = re.compile("[ \t\n\r]+")
@@ -94,7 +94,7 @@ class _Store:
 
 
 #: Texts are split side by side up to so many characters.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
 _LOWER = np.array([ord(chr(c).lower()[0]) for c in range(0x181)], np.uint16)
 _IS_BEYOND = np.array([bool(_BEYOND.match(chr(c))) for c in range(0x181)])
 _SPACE, _LETTER, _DIGIT, _SYMBOL = range(4)
@@ -201,8 +201,13 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.plain = _is_plain(self.tokenizer)
-        self.max_pieces, self.units = max_pieces, {}
-        self.chunks, self.others, self.whole = _Store(max_pieces), _Store(max_pieces), _Units(max_pieces)
+        self.max_pieces = max_pieces
+        self.release()
+
+    def release(self) -> None:
+        """Empty tables: an idle worker, which outlives its tasks, should hold none."""
+        self.units: dict[str, list[int]] = {}
+        self.others, self.whole = _Store(self.max_pieces), _Units(self.max_pieces)
 
     def split(self, text: str) -> list[str]:
         return text.split() if not _CONTROL.search(text) else [p for p in _SAFE.split(text) if p]
@@ -230,19 +235,6 @@ class PieceEncoder:
             ids += self.unit_ids(unit)
         return ids
 
-    def chunk_counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of every chunk of all texts in a row, and how many chunks each text has."""
-        look, flat, sizes = self.chunks.table.__getitem__, [], []
-        for text in texts:
-            chunks = self.split(text)
-            sizes.append(len(chunks))
-            flat.extend(map(look, chunks))
-        self.chunks.learn(self.chunk_ids)
-        number = np.array(flat, np.int64)
-        counts = self.chunks.starts[number + 1] - self.chunks.starts[number]
-        self.chunks.forget()
-        return counts, np.array(sizes, np.int64)
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (uint32), and the number of ids of each text."""
         parts, owner = [], []

@@ -109,6 +109,24 @@ def test_token_files(spark, docs, none, library):
     assert rans.document_digests(spark, empty).count() == 0
 
 
+def test_token_files_of_many_equal_rows(spark, library):
+    rows = [(5, "same text of all") for _ in range(400)] + [(None, "other")] * 30 + [(9, "last")]
+    path = rans.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), new_path(spark, "files"), shard_bytes=500, block_tokens=64, lanes=4, step_tokens=8)
+    got = [tuple(r) for r in rans.document_digests(spark, path).orderBy("start").collect()]
+    start, want = 0, []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = ids_of(library, t) + [1]
+        want.append((i, start, len(ids), crc(ids)))
+        start += len(ids)
+    assert got == want and spark.read.parquet(f"{path}/shards").count() > 5
+
+
+def test_shard_starts_across_groups(spark):
+    blocks = spark.createDataFrame([(s, s + 1, [0, 1]) for s in range(10)], "shard int, n_tokens int, doc_seqs array<long>")
+    got = sorted((r["shard"], r["start"]) for r in rans._shard_starts(blocks, 3).collect())
+    assert got == [(s, s * (s + 1) // 2) for s in range(10)]
+
+
 def test_substrings(docs, none):
     got = key(map(tuple, substrings.digests(substrings.remove_repeats(docs, chunk_bytes=20_000, bucket_windows=500)).collect()))
     assert got == key(substrings.brute_force([(r[0], r[1]) for r in table()]))
@@ -308,18 +326,29 @@ def test_mixing_comes_near_targets(spark):
 
 
 def test_prefix_counts(docs, none, library):
-    table_ = prefix_counts.prefix_table(docs)
-    got = key((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in prefix_counts.over_budget(table_, 500).collect())
-    assert got == key((r[0], len((r[1] or "").encode()), n := len(ids_of(library, r[1])), n > 500) for r in table())
-    for r in table_.where("doc_id in (3, 4, 11)").collect():
-        text = next(t for i, t, *_ in table() if i == r["doc_id"])
-        chunks = tokens.encoder(tokens.default_path()).split(text)
-        assert prefix_counts.prefix_counts(r["steps"], r["long_steps"]).tolist() == [len(ids_of(library, " ".join(chunks[:k]))) for k in range(len(chunks) + 1)]
-    cut = {r["doc_id"]: r for r in prefix_counts.truncation_points(table_, 50).where("doc_id is not null").collect()}
-    assert all(r["n_tokens"] <= 50 for r in cut.values())
-    text = "Don't stop, été 12"
-    assert prefix_counts.text_prefixes(text, tokens.default_path()) == [len(ids_of(library, text[:k])) for k in range(len(text) + 1)]
-    assert prefix_counts.prefix_table(none).count() == 0
+    table_, _ = stage(prefix_counts.prefix_table(docs), "steps")
+    got = prefix_counts.answers(table_, 50).collect()
+    assert key((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got) == key((r[0], len((r[1] or "").encode()), n := len(ids_of(library, r[1])), n > 50) for r in table())
+    text = {i: t for i, t, *_ in table()}
+    for r in got:
+        if r["doc_id"] in (0, 1, 2, 3, 4, 7, 11, 12) and (t := (text[r["doc_id"]] or "")) is not None and r["n_bytes"] == len(t.encode()):
+            fits = [k for k in range(len(t) + 1) if len(ids_of(library, t[:k])) <= 50]
+            assert r["fit_chars"] == fits[-1] and r["fit_tokens"] == len(ids_of(library, t[: fits[-1]]))
+    assert prefix_counts.answers(prefix_counts.prefix_table(none)).count() == 0
+
+
+def test_every_prefix_has_the_library_s_count(library):
+    own, r = prefix_counts.prefixes(tokens.default_path()), random.Random(4)
+    alphabet = "aB é'sStrelvmd1²\n\t\x1c\xa0<|>Σς漢İ.!\u0301k한"
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(40))) for _ in range(120)]
+    texts += ["x<|startoftext|>y<|ENDOFTEXT|>!!<|endoftext|>a", "we'll DON'T they've 'r 're 'rx --'s", "internationalization", "-" * 70 + "=" * 200, " ".join(r.choice(WORDS) + r.choice(WORDS) for _ in range(20))]
+    for t in texts:
+        want = [len(e.ids) for e in library.encode_batch([t[:k] for k in range(len(t) + 1)], add_special_tokens=False)]
+        assert prefix_counts.prefix_counts(*own.steps(t)).tolist() == want, t
+
+
+def test_steps_of_more_than_a_byte():
+    assert prefix_counts.prefix_counts(bytes([1, 128, 255]), [300]).tolist() == [0, 1, 301, 300]
 
 
 def test_quality(spark, docs, none):
