@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lodestar.operators.metrics import keyword_judge
-
 
 class Registry:
     def __init__(self):
@@ -26,16 +24,3 @@ class Registry:
 
 
 registry = Registry()
-
-
-def judges(names: str) -> list[Callable]:
-    """'keyword', 'mock' and 'dummy' name the keyword judge; others must be registered in the group 'judge'."""
-    out = []
-    for name in filter(None, (n.strip().lower() for n in names.split(","))):
-        if name in ("keyword", "mock", "dummy"):
-            out.append(keyword_judge)
-        elif name in registry["judge"]:
-            out.append(registry["judge"][name])
-        else:
-            raise ValueError(f"unknown judge {name!r}")
-    return out or [keyword_judge]

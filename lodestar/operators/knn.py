@@ -2,7 +2,8 @@
 
 Vectors are packed into blocks of fixed size; a block of queries meets every block of the corpus in one task, which
 scores by matrix product and keeps k of them, so what is shuffled is k rows for each query and block, never a pair.
-Ties go to the smaller id. Vectors that are null take no part.
+Ties go to the smaller id. Vectors that are null, empty, or hold a null or NaN take no part; vectors meet only those of
+their own length.
 """
 
 from __future__ import annotations
@@ -12,17 +13,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.sources.tables import cut
+
 BLOCK = 4096
 METRICS = ("cosine", "euclidean", "sqeuclidean", "inner")
 
 
 def _blocks(df: DataFrame, id_column: str, vector: str, block: int, bias: Column | None = None) -> tuple[DataFrame, int]:
     more = [] if bias is None else [bias.alias("bias")]
-    rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), *more).where("id is not null and v is not null")
+    rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), *more)
+    rows = rows.where("id is not null and size(v) > 0").where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))).withColumn("dim", F.size("v"))
     n = max(1, -(-rows.count() // block))
     return rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
 
 
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors of one length, as rows."""
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1)
+
+
 def topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = False, block: int = BLOCK, scale: float = 1.0, bias: str | None = None) -> DataFrame:
     """corpus (vec_id, embedding), queries (qid, qvec) -> qid, rank, vec_id, score. cosine and inner score by inner
     product, larger first (vectors are taken as normalised); the others by distance, smaller first. With ``bias``, a
@@ -36,7 +46,7 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
         raise ValueError("a bias goes with cosine or inner")
     own, n = _blocks(corpus, "vec_id", "embedding", block, F.col(bias).cast("double") if bias else F.lit(0.0))
     asked, m = _blocks(queries, "qid", "qvec", block)
-    asked = asked.select(F.col("id").alias("qid"), F.col("v").alias("qv"), "b")
+    asked = asked.select(F.col("id").alias("qid"), F.col("v").alias("qv"), "b", "dim")
     own = own.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     asked = asked.withColumnRenamed("b", "qb").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
@@ -45,7 +55,7 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
         if not left.num_rows or not right.num_rows or not k:
             return schema.empty_table()
         ids, qids = left.column("id").to_numpy(), right.column("qid").to_numpy()
-        x, q = np.array(left.column("v").to_pylist(), float), np.array(right.column("qv").to_pylist(), float)
+        x, q = matrix(left.column("v")), matrix(right.column("qv"))
         order = np.argsort(ids, kind="stable")
         ids, x, plus, out = ids[order], x[order], left.column("bias").to_numpy()[order], []
         for lo in range(0, len(q), 256):
@@ -64,7 +74,7 @@ def topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
                 out.append((np.full(len(near), i), ids[near], row[near]))
         return pa.Table.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    pairs = own.groupBy("b", "qb").cogroup(asked.groupBy("b", "qb")).applyInArrow(best, "qid long, vec_id long, key double")
+    pairs = own.groupBy("b", "qb", "dim").cogroup(asked.groupBy("b", "qb", "dim")).applyInArrow(best, "qid long, vec_id long, key double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("key", "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "vec_id", (F.col("key") * sign).alias("score"))
 
@@ -80,16 +90,36 @@ def knn_edges(embeddings: DataFrame, k: int = 10, metric: str = "cosine", block:
 def pairs(embeddings: DataFrame, block: int = 1024) -> DataFrame:
     """i, j, d2: squared distances of all ordered pairs i <> j, by blocks; for the dense operators of a bounded set."""
     left, n = _blocks(embeddings, "vec_id", "embedding", block)
-    right = left.select(F.col("id").alias("other"), F.col("v").alias("u"), F.col("b").alias("c")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    right = left.select(F.col("id").alias("other"), F.col("v").alias("u"), F.col("b").alias("c"), "dim").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     left = left.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
     def apart(a, b):
         if not a.num_rows or not b.num_rows:
             return pa.schema([("i", pa.int64()), ("j", pa.int64()), ("d2", pa.float64())]).empty_table()
         i, j = a.column("id").to_numpy(), b.column("other").to_numpy()
-        x, y = np.array(a.column("v").to_pylist(), float), np.array(b.column("u").to_pylist(), float)
+        x, y = matrix(a.column("v")), matrix(b.column("u"))
         d2 = np.stack([((y - p) ** 2).sum(axis=1) for p in x])
         keep = i[:, None] != j[None, :]
         return pa.table({"i": np.repeat(i, len(j))[keep.ravel()], "j": np.tile(j, len(i))[keep.ravel()], "d2": d2.ravel()[keep.ravel()]})
 
-    return left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInArrow(apart, "i long, j long, d2 double")
+    return left.groupBy("b", "c", "dim").cogroup(right.groupBy("b", "c", "dim")).applyInArrow(apart, "i long, j long, d2 double")
+
+
+def block_distances(embeddings: DataFrame, what, schema: str, block: int = 1024) -> DataFrame:
+    """what(ids, other ids, squared distances) for every pair of blocks, in one task each; a vector's distance to itself
+    is infinite. Nothing but what it returns, a table of ``schema``, leaves the task."""
+    left, n = _blocks(embeddings, "vec_id", "embedding", block)
+    left, _ = cut(left, "blocks")
+    right = left.select(F.col("id").alias("other"), F.col("v").alias("u"), F.col("b").alias("c"), "dim").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    left = left.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+    def apart(a, b):
+        i, j = a.column("id").to_numpy(), b.column("other").to_numpy()
+        if not len(i) or not len(j):
+            return what(i, j, np.zeros((len(i), len(j))))
+        x, y = matrix(a.column("v")), matrix(b.column("u"))
+        d2 = np.stack([((y - p) ** 2).sum(axis=1) for p in x])
+        d2[i[:, None] == j[None, :]] = np.inf
+        return what(i, j, d2)
+
+    return left.groupBy("b", "c", "dim").cogroup(right.groupBy("b", "c", "dim")).applyInArrow(apart, schema)

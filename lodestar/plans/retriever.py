@@ -2,80 +2,47 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.encoders import Encoder, encode_corpus, load_encoder
 from lodestar.operators import graph, knn
-from lodestar.sources.tables import cut, load_index, save_index
-
-
-@dataclass
-class TrainerConfig:
-    epochs: int = 1
-    batch_size: int = 16
-    lr: float = 2e-5
-    k_graph: int = 10
-    geodesic: bool = False
-    lambda_ricci: float = 0.0
-    lambda_forman: float = 0.0
-    kappa_target: float = 0.0
-    ricci_backend: str = "forman"
-
-    def __post_init__(self):
-        if self.k_graph < 5:
-            raise ValueError("k_graph must be 5 at least")
-        if self.lambda_ricci < 0 or self.lambda_forman < 0:
-            raise ValueError("lambdas must not be negative")
-        if self.lr <= 0:
-            raise ValueError("lr must be positive")
-        if self.ricci_backend not in ("ricci_ollivier", "ollivier", "forman", "auto"):
-            raise ValueError(f"unknown backend {self.ricci_backend!r}")
-
-    @property
-    def mode(self) -> str:
-        return "classic" if self.lambda_ricci == self.lambda_forman == 0 else "geometric"
-
-    @staticmethod
-    def gamma(epoch: int) -> float:
-        return max(0.05, 0.2 * 0.95**epoch)
-
-
-@dataclass
-class ExperimentConfig:
-    dataset: str = ""
-    dry_run: bool = False
-    output_dir: str = "runs"
-    trainer: TrainerConfig = field(default_factory=TrainerConfig)
-
-    @classmethod
-    def from_dict(cls, values: dict) -> ExperimentConfig:
-        if unknown := set(values) - set(cls.__dataclass_fields__):
-            raise ValueError(f"unknown keys {sorted(unknown)}")
-        values = dict(values)
-        if isinstance(values.get("trainer"), dict):
-            values["trainer"] = TrainerConfig(**values["trainer"])
-        return cls(**values)
+from lodestar.sources.tables import cut, in_memory, load_index, save_index, save_report
 
 
 class GeoIndex:
-    def __init__(self, embeddings: DataFrame, k_graph: int = 10, metric: str = "cosine", edges: DataFrame | None = None):
-        self.embeddings = embeddings
+    """embeddings (vec_id, embedding), their graph, and the corpus (doc_id, text) that they stand for, if given."""
+
+    def __init__(self, embeddings: DataFrame, k_graph: int = 10, metric: str = "cosine", edges: DataFrame | None = None, corpus: DataFrame | None = None):
+        self.embeddings, self.corpus = embeddings, corpus
         self.edges = edges if edges is not None else cut(knn.knn_edges(embeddings, k_graph, metric), "edges")[0]
         self._kappa = None
 
+    @classmethod
+    def build(cls, encoder: Encoder, corpus: DataFrame, k: int = 10, metric: str = "cosine") -> GeoIndex:
+        """Encode corpus (doc_id, text), and link its vectors."""
+        return cls(cut(encode_corpus(encoder, corpus), "embeddings")[0], k, metric, corpus=corpus)
+
     def kappa(self) -> DataFrame:
         if self._kappa is None:
-            self._kappa, _ = cut(graph.curvature(self.edges), "kappa")
+            self._kappa, _ = cut(graph.curvature(self.edges, "forman"), "kappa")
         return self._kappa
 
+    def audit(self, curvature: bool = True) -> DataFrame:
+        """src, dst, kappa of every edge; no rows if curvature isn't asked for."""
+        return self.kappa() if curvature else self.kappa().limit(0)
+
     def node_curvature(self) -> DataFrame:
         return graph.node_curvature(self.kappa(), self.embeddings.select(F.col("vec_id").alias("id")))
 
+    def distances(self) -> DataFrame:
+        """src, dst, dist: shortest paths between all nodes; for bounded sets."""
+        return graph.paths_between(self.edges, self.embeddings.select(F.col("vec_id").alias("id")))
+
     def search(self, queries: DataFrame, k: int = 10, metric: str = "cosine", alpha: float | None = None, mix_kappa: float = 0.0, search_k: int = 1000, connect_k: int = 10) -> DataFrame:
-        """queries (qid, qvec). cosine, curvature and mix rank by (1 - alpha) score + alpha kappa, or score + mix_kappa
-        kappa; alpha = 1 ranks by kappa alone. geodesic ranks by shortest distance among search_k candidates."""
+        """queries (qid, qvec). cosine, curvature and mix rank by (1 - alpha) score + alpha kappa, or, without an alpha,
+        by score + mix_kappa kappa; alpha = 1 ranks by kappa alone, alpha = 0 by score. geodesic ranks by shortest
+        distance among search_k candidates."""
         metric = metric.lower()
         if k < 0:
             raise ValueError("k must not be negative")
@@ -85,16 +52,63 @@ class GeoIndex:
             return graph.geodesic(cut(knn.topk(self.embeddings, queries, search_k), "candidates")[0], self.edges, k, connect_k)
         if metric not in ("cosine", "curvature", "mix"):
             raise ValueError(f"unknown metric {metric!r}")
-        if not alpha and not mix_kappa:
+        weight = mix_kappa if alpha is None else alpha
+        if not weight:
             return knn.topk(self.embeddings, queries, k)
         # Curvature travels with the vectors, so blocks rank by the mixed score and only k of each go on.
-        mixed = self.embeddings.join(self.node_curvature().select(F.col("id").alias("vec_id"), ((alpha or mix_kappa) * F.col("kappa_avg")).alias("bias")), "vec_id")
-        return knn.topk(mixed, queries, k, scale=1 - alpha if alpha else 1.0, bias="bias")
+        mixed = self.embeddings.join(self.node_curvature().select(F.col("id").alias("vec_id"), (weight * F.col("kappa_avg")).alias("bias")), "vec_id")
+        return knn.topk(mixed, queries, k, scale=1.0 if alpha is None else 1 - alpha, bias="bias")
 
-    def save(self, path: str, corpus: DataFrame) -> str:
-        return save_index(path, corpus, self.embeddings, self.edges)
+    def _texts(self) -> DataFrame:
+        return self.corpus if self.corpus is not None else in_memory(self.embeddings.sparkSession, [])
+
+    def save(self, path: str, corpus: DataFrame | None = None) -> str:
+        return save_index(path, corpus if corpus is not None else self._texts(), self.embeddings, self.edges)
+
+    def save_report(self, name: str, folder: str = ".") -> str:
+        return save_report(self.embeddings, self._texts(), name, folder)
 
     @classmethod
-    def load(cls, spark, path: str) -> GeoIndex:
+    def load(cls, spark: SparkSession, path: str) -> GeoIndex:
         tables = load_index(spark, path)
-        return cls(tables["embeddings"], edges=tables["edges"])
+        return cls(tables["embeddings"], edges=tables["edges"], corpus=tables["corpus"])
+
+
+class Retriever:
+    """Text in, documents out: an encoder and, once index() has run, a GeoIndex."""
+
+    def __init__(self, spark: SparkSession, encoder: Encoder | str = "hashing"):
+        self.spark = spark
+        self.encoder = load_encoder(encoder) if isinstance(encoder, str) else encoder
+        self.index_: GeoIndex | None = None
+
+    def index(self, corpus: DataFrame | list[str], k_graph: int = 10, metric_graph: str = "cosine") -> Retriever:
+        """corpus: doc_id and text, or a list of texts, which are numbered from 0."""
+        rows = in_memory(self.spark, corpus) if isinstance(corpus, list) else corpus
+        self.index_ = GeoIndex.build(self.encoder, rows, k_graph, metric_graph)
+        return self
+
+    @property
+    def corpus_embeddings(self) -> DataFrame | None:
+        return self.index_ and self.index_.embeddings
+
+    @property
+    def corpus_graph(self) -> DataFrame | None:
+        return self.index_ and self.index_.edges
+
+    @property
+    def distance_matrix(self) -> DataFrame | None:
+        return self.index_ and self.index_.distances()
+
+    def search(self, query: str | DataFrame, k: int = 10, **options) -> list[int] | DataFrame:
+        """query: one text, for a list of doc_ids, best first; or a table (qid, text) or (qid, qvec), for a table of
+        ranks. top_k stands for k; other options are those of GeoIndex.search."""
+        if self.index_ is None:
+            raise RuntimeError("search comes after index()")
+        k = int(options.pop("top_k", k))
+        one = isinstance(query, str)
+        asked = self.spark.createDataFrame([(0, query)], "qid long, text string") if one else query
+        if "qvec" not in asked.columns:
+            asked = self.encoder.encode(asked, "text", is_query=True).select("qid", F.col("embedding").alias("qvec"))
+        found = self.index_.search(asked, k, **options)
+        return [r["vec_id"] for r in found.orderBy("rank").collect()] if one else found  # k rows

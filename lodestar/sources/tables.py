@@ -7,10 +7,12 @@ import json
 import tempfile
 import uuid
 import warnings
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 EVAL_SCHEMA = "query string, docs array<string>, reference string, gt_docs array<string>, new_docs array<string>"
 _SPACE = r"(?U)^\s+|\s+$"
@@ -21,7 +23,7 @@ def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -45,21 +47,22 @@ def text_lines(spark: SparkSession, path: str, strict: bool = False, max_docs: i
             raise FileNotFoundError(path)
         warnings.warn(f"no such file: {path}", stacklevel=2)
         return spark.createDataFrame([], schema)
-    lines = spark.read.text(path).select(F.regexp_replace("value", _SPACE, "").alias("text"), F.input_file_name().alias("_f"), F.monotonically_increasing_id().alias("_n")).where("text <> ''")
-    # Numbers run on from partition to partition: one count for each, no sort in a single task.
-    lines = lines.withColumn("_p", F.shiftright("_n", 33))
-    counts = sorted(((r["_p"], r["n"]) for r in lines.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()))
-    before, total = [], 0
-    for p, n in counts:
-        before.append((p, total))
-        total += n
-    from pyspark.sql import Window
-
-    starts = spark.createDataFrame(before, "_p long, _s long")
-    out = lines.join(F.broadcast(starts), "_p").select((F.col("_s") + F.row_number().over(Window.partitionBy("_p").orderBy("_n")) - 1).cast("long").alias("doc_id"), "text")
+    lines = spark.read.text(path).select(F.regexp_replace("value", _SPACE, "").alias("text"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_o"), F.monotonically_increasing_id().alias("_n")).where("text <> ''")
+    # A part is a file's lines from one offset on, as one task reads them; parts are numbered on by file and offset, so
+    # there is one count for each part and no sort of lines in a single task.
+    counts = lines.groupBy("_f", "_o").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("_f", "_o").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_f", "_o", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_s"))
+    own = F.row_number().over(Window.partitionBy("_f", "_o").orderBy("_n"))
+    out = lines.withColumn("_k", own).join(starts, ["_f", "_o"]).select((F.col("_s") + F.col("_k") - 1).cast("long").alias("doc_id"), "text")
     return out.where(F.col("doc_id") < max_docs) if max_docs else out
 
 
+def in_memory(spark: SparkSession, texts: list[str]) -> DataFrame:
+    """doc_id, text: the texts of a list, numbered from 0."""
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
 def triplets(spark: SparkSession, path: str) -> DataFrame:
     """query, pos, neg: lines that have exactly three tab-separated fields after stripping; a missing path gives a
     warning and no rows."""
@@ -80,8 +83,12 @@ def corpus(spark: SparkSession, spec: str) -> DataFrame:
     return text_lines(spark, spec.removeprefix("file:") if spec.startswith("file:") and not spec.startswith("file:/") else spec, strict=True)
 
 
+#: Names of text columns, the first that is there being taken.
+TEXT_COLUMNS = ("text", "content", "document", "passage")
+
+
 def text_column(columns: list[str]) -> str:
-    return next((c for c in ("text", "content", "document", "passage") if c in columns), columns[0])
+    return next((c for c in TEXT_COLUMNS if c in columns), columns[0])
 
 
 def synthetic(spark: SparkSession, split: str = "train", num_samples: int = 100, embedding_dim: int = 384, num_classes: int = 10) -> DataFrame:
@@ -106,11 +113,51 @@ def index_report(embeddings: DataFrame, corpus: DataFrame) -> DataFrame:
     return size.join(corpus.agg(F.count(F.lit(1)).alias("n_documents")))
 
 
+def vectors_digest(embeddings: DataFrame) -> str:
+    """SHA-256 of the vectors' bytes, as big-endian doubles in the order of vec_id: of each part of the order the rows'
+    hashes are hashed in its task, and then the parts' hashes, so no vector comes to the driver."""
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).sort("vec_id")
+
+    def run(batches):
+        part, n = hashlib.sha256(), 0
+        for batch in batches:
+            n += batch.num_rows
+            part.update(batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(">f8").tobytes())
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([part.hexdigest()])], names=["part", "h"])
+
+    parts = sorted((r["part"], r["h"]) for r in rows.mapInArrow(run, "part int, h string").collect())  # a row for each part
+    return hashlib.sha256("".join(h for _, h in parts).encode()).hexdigest() if len(parts) != 1 else parts[0][1]
+
+
 def save_report(embeddings: DataFrame, corpus: DataFrame, name: str, folder: str) -> str:
-    """One JSON line named by a digest of the vectors in the order of their ids."""
-    row = index_report(embeddings, corpus).first().asDict()
-    digest = embeddings.select(F.sha2(F.concat_ws("|", "vec_id", F.to_json("embedding")), 256).alias("h")).agg(F.sum(F.conv(F.substring("h", 1, 12), 16, 10).cast("decimal(38,0)")).alias("s")).first()["s"]
-    row |= {"name": name, "sha12": hashlib.sha256(str(digest).encode()).hexdigest()[:12]}
-    path = f"{folder}/{name}_{row['sha12']}"
-    embeddings.sparkSession.createDataFrame([(json.dumps(row),)], T.StructType([T.StructField("value", T.StringType())])).coalesce(1).write.mode("overwrite").text(path)
+    """One JSON line in {name}_{sha12}_{utc}: name, sha12 (of the vectors), timestamp, shape, size of the corpus."""
+    row = index_report(embeddings, corpus).first()
+    stamp = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%SZ")
+    sha = vectors_digest(embeddings)[:12]
+    report = {"name": name, "sha12": sha, "timestamp": stamp, "embeddings_shape": [row["n_vectors"], row["dim"] or 0], "corpus_size": row["n_documents"]}
+    path = f"{folder}/{name}_{sha}_{stamp}.json"
+    embeddings.sparkSession.createDataFrame([(json.dumps(report, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return path
+
+
+def save_vectors(embeddings: DataFrame, path: str) -> tuple[int, int]:
+    """(rows, dimension) of what is written."""
+    embeddings.write.mode("overwrite").parquet(path)
+    row = embeddings.sparkSession.read.parquet(path).agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    return row[0], row[1] or 0
+
+
+def load_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def save_json(rows: DataFrame, path: str) -> str:
+    """As a folder of JSON lines."""
+    rows.write.mode("overwrite").json(path)
+    return path
+
+
+def save_csv(rows: DataFrame, path: str) -> str:
+    rows.write.mode("overwrite").option("header", True).csv(path)
     return path
