@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Words of the query contracts: maximal runs of anything but ASCII white space. ``bytes.split()`` gives the same.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
+#: Its characters.
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -2,10 +2,12 @@
 
 Equal vectors are one point of a graph that carries their smallest ids (a search for k never needs more than k + 1 of
 them, ties going to smaller ids), so a vector that a third of all rows share neither disconnects a graph nor grows a
-group. Points are dealt to shards of about ``SHARD`` by a hash of the vector; a shard's graph is built in one task of
-bounded size and stored as one row of flat arrays: vectors, ids, and per level the neighbour numbers. Searches go
-through every shard's graph, in blocks of queries, and the best k of all shards remain. Distances that are returned
-are worked out anew in double precision.
+group. Points are dealt to shards by a hash of the vector: as many as a task's memory holds (``SHARD``), or fewer where
+that leaves under ``PARALLEL`` shards. A shard's graph is built in one task and stored as one row of flat arrays:
+vectors, ids, and per level the neighbour numbers. A search sends each graph once; the queries of its dimension follow
+it through the same task as a stream, in blocks, and the best k of all shards remain. Graphs are built and walked in
+single precision, on vectors scaled by the shard's largest component; distances that are returned are worked out anew
+in double precision, and of points at one distance all that were found compete, so ties go to smaller ids.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows
 with a null id; vectors meet only those of their own length; of rows that repeat an id, each distinct vector is a
@@ -24,10 +26,12 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import stage
 
 K = 10
-SHARD = 2048
+#: Points of a shard at most, about; shards that a table is cut into at least, while each keeps LEAST_SHARD points.
+SHARD, PARALLEL, LEAST_SHARD = 100_000, 32, 1024
 LINKS = 16
 EF_BUILD, EF_SEARCH = 80, 160
-BLOCK = 16_384
+#: Queries that are searched at once.
+BLOCK = 256
 EVERY = 100
 
 
@@ -136,6 +140,8 @@ class Graph:
     def _link_back(self, links: np.ndarray, source: np.ndarray, target: np.ndarray) -> None:
         order = np.argsort(target, kind="stable")
         source, target = source[order], target[order]
+        if not len(target):
+            return
         nodes, first, count = np.unique(target, return_index=True, return_counts=True)
         more = np.full((len(nodes), count.max()), -1)
         more[np.repeat(np.arange(len(nodes)), count), np.arange(len(target)) - np.repeat(first, count)] = source
@@ -199,20 +205,34 @@ def distinct_vectors(embeddings: DataFrame, k: int = K) -> DataFrame:
     return stage(merged, "op8-vectors")[0]
 
 
-def build_index(vectors: DataFrame, shard_size: int = SHARD) -> DataFrame:
+_INDEX = "dim int, shard int, vectors binary, scale double, ids array<long>, id_ends array<long>, neighbours array<binary>, entry int"
+
+
+def _scaled(points: np.ndarray, scale: float) -> np.ndarray:
+    """In single precision, where squares of far queries still have to be finite."""
+    return np.clip(points / scale, -1e15, 1e15).astype(np.float32)
+
+
+def build_index(vectors: DataFrame, shard_size: int = SHARD, parallel: int = PARALLEL, least: int = LEAST_SHARD) -> DataFrame:
     """Staged: dim, shard, and a graph's flat arrays."""
-    shards = vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).select("dim", F.ceil(F.col("n") / shard_size).cast("int").alias("shards"))
+    n = F.col("n")
+    number = F.greatest(F.ceil(n / shard_size), F.least(F.lit(parallel), F.ceil(n / least))).cast("int")
+    shards, _ = stage(vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).select("dim", number.alias("shards")), "op8-shards")
+    total = shards.agg(F.sum("shards")).first()[0] or 1
 
     def build(key, table):
-        points = np.stack([np.frombuffer(v, "<f8") for v in table.column("vec").to_pylist()])
+        points = np.stack([np.frombuffer(v.as_py(), "<f8") for v in table.column("vec")])
         order = np.lexsort(points.T[::-1])  # the graph doesn't depend on the order of rows
-        points, ids = points[order], [table.column("ids").to_pylist()[i] for i in order]
-        graph = Graph.build(points.astype(np.float32))
-        row = {"dim": key[0].as_py(), "shard": key[1].as_py(), "vectors": points.tobytes(), "ids": [i for x in ids for i in x], "id_ends": np.cumsum([len(x) for x in ids]).tolist(), "neighbours": [x[:-1].astype("<i4").tobytes() for x in graph.levels], "entry": graph.entry}
-        return pa.Table.from_pylist([row], schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("vectors", pa.binary()), ("ids", pa.list_(pa.int64())), ("id_ends", pa.list_(pa.int64())), ("neighbours", pa.list_(pa.binary())), ("entry", pa.int32())]))
-
+        ids = table.column("ids").to_pylist()
+        points, ids = points[order], [ids[i] for i in order]
+        scale = float(np.abs(points).max())
+        graph = Graph.build(_scaled(points, scale))
+        row = {"dim": key[0].as_py(), "shard": key[1].as_py(), "vectors": points.tobytes(), "scale": scale, "ids": [i for x in ids for i in x], "id_ends": np.cumsum([len(x) for x in ids]).tolist(), "neighbours": [x[:-1].astype("<i4").tobytes() for x in graph.levels], "entry": graph.entry}
+        return pa.Table.from_pylist([row], schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("vectors", pa.binary()), ("scale", pa.float64()), ("ids", pa.list_(pa.int64())), ("id_ends", pa.list_(pa.int64())), ("neighbours", pa.list_(pa.binary())), ("entry", pa.int32())]))
+
+    # One row for each length of vectors; the number of partitions is stated, else small shards would be put together.
     dealt = vectors.join(F.broadcast(shards), "dim").withColumn("shard", F.pmod(F.xxhash64("vec"), F.col("shards")).cast("int")).drop("shards")
-    return stage(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, vectors binary, ids array<long>, id_ends array<long>, neighbours array<binary>, entry int"), "op8-index")[0]
+    return stage(dealt.repartition(min(4096, 2 * total), "dim", "shard").groupBy("dim", "shard").applyInArrow(build, _INDEX), "op8-index")[0]
 
 
 def queries_of(embeddings: DataFrame) -> DataFrame:
@@ -228,38 +248,69 @@ def queries_of(embeddings: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "query_id long, dim int, vec binary").groupBy("query_id").agg(F.min(F.struct("dim", "vec")).alias("v")).select("query_id", "v.dim", "v.vec")
 
 
+class _Shard:
+    """A stored graph, ready to be searched."""
+
+    def __init__(self, row: dict):
+        self.points = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
+        n = len(self.points)
+        levels = [np.concatenate([np.frombuffer(x, "<i4").reshape(n, -1), np.full((1, len(x) // 4 // n), -1, np.int32)]) for x in row["neighbours"]]
+        self.scale, self.graph = row["scale"], Graph(_scaled(self.points, row["scale"]), levels, row["entry"])
+        self.ids, self.ends = np.array(row["ids"], np.int64), [0, *row["id_ends"]]
+
+    def nearest(self, query_id: int, vector: np.ndarray, near: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+        """(query_id, vec_id, score) of the k nearest of the points found."""
+        near = near[near >= 0]
+        gap = self.points[near] - vector
+        with np.errstate(over="ignore"):
+            score = np.sqrt((gap * gap).sum(axis=1))
+        if np.isinf(score).any():  # squares beyond double precision
+            most = np.abs(gap).max(axis=1)
+            score = most * np.sqrt(((gap / np.where(most > 0, most, 1)[:, None]) ** 2).sum(axis=1))
+        if len(score) > k:
+            # One point may be the query's own, so one more counts; points as near as the last of them all compete.
+            keep = score <= np.partition(score, k)[k]
+            near, score = near[keep], score[keep]
+        pairs = sorted((float(s), i) for s, j in zip(score, near) for i in self.ids[self.ends[j] : self.ends[j + 1]].tolist() if i != query_id)
+        return [(query_id, i, s) for s, i in pairs[:k]]
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = K, ef: int = EF_SEARCH, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, its own id left out."""
-    blocks = max(1, -(-queries.count() // block))
-    shards = index.select("dim", "shard")
-
-    def find(own, asked):
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        if not own.num_rows or not asked.num_rows:
-            return schema.empty_table()
-        row = own.to_pylist()[0]
-        points = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
-        levels = [np.concatenate([np.frombuffer(x, "<i4").reshape(len(points), -1), np.full((1, len(x) // 4 // len(points)), -1)]) for x in row["neighbours"]]
-        graph = Graph(points.astype(np.float32), levels, row["entry"])
-        ids, ends = row["ids"], [0, *row["id_ends"]]
-        query = np.stack([np.frombuffer(v, "<f8") for v in asked.column("vec").to_pylist()])
-        found = graph.search(query.astype(np.float32), max(ef, k + 1))
-        out = []
-        for q, vector, near in zip(asked.column("query_id").to_pylist(), query, found):
-            near = near[near >= 0]
-            gap = points[near] - vector
-            score = np.sqrt((gap * gap).sum(axis=1))
-            pairs = []
-            for j in np.argsort(score, kind="stable")[: k + 1]:
-                pairs += [(float(score[j]), i) for i in ids[ends[near[j]] : ends[near[j] + 1]] if i != q]
-            out += [(q, i, s) for s, i in sorted(pairs)[:k]]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema) if out else schema.empty_table()
-
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    asked = dealt.join(F.broadcast(shards.groupBy("dim").agg(F.max("shard").alias("last"))), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), "last"))).drop("last")
-    graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    key = ["dim", "shard", "block"]
-    found = graphs.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(find, "query_id long, vec_id long, score double")
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    names = [f.split()[0] for f in _INDEX.split(", ")]
+    shards, _ = stage(index.select("dim", "shard"), "op8-shards")
+    total = max(1, shards.count())
+
+    def find(batches):
+        """Rows come by shard, its graph first."""
+        shard, last = None, None
+        for batch in batches:
+            lo = 0
+            while lo < batch.num_rows:
+                head = {n: batch.column(n)[lo].as_py() for n in ("dim", "shard")}
+                if batch.column("vectors")[lo].is_valid:
+                    shard, last = _Shard({n: batch.column(n)[lo].as_py() for n in names}), head
+                    lo += 1
+                    continue
+                own = batch.slice(lo, block)
+                same = [i for i, (d, s, v) in enumerate(zip(own.column("dim").to_pylist(), own.column("shard").to_pylist(), own.column("vectors").is_valid().to_pylist())) if v or {"dim": d, "shard": s} != head]
+                own = own.slice(0, same[0] if same else own.num_rows)
+                lo += own.num_rows
+                if head != last:
+                    raise RuntimeError(f"no graph for {head}")
+                query = np.stack([np.frombuffer(v.as_py(), "<f8") for v in own.column("vec")])
+                found = shard.graph.search(_scaled(query, shard.scale), max(ef, k + 1))
+                out = [x for q, vector, near in zip(own.column("query_id").to_pylist(), query, found) for x in shard.nearest(q, vector, near, k)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in index.schema.fields if f.name not in ("dim", "shard")]
+    graphs = index.select(*names, F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("binary").alias("vec"))
+    last = F.broadcast(shards.groupBy("dim").agg(F.max("shard").alias("last")))  # one row for each length of vectors
+    asked = queries.join(last, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), "last"))).select("dim", "shard", *empty, "query_id", "vec")
+    rows = graphs.unionByName(asked.select(*graphs.columns)).repartition(min(4096, 2 * total), "dim", "shard")
+    found = rows.sortWithinPartitions("dim", "shard", F.col("vectors").isNull(), "query_id").mapInArrow(find, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -3,30 +3,32 @@
 A document is a bag of passages of ``PASSAGE`` words. Every passage of the whole text is encoded (a learned hashing
 embedding of its words beside word-shape statistics, through one layer), gated attention weighs the passages, and
 the weighted sum gives the score; only documents have labels, attention learns which passages matter. The model is
-trained with Adam on at most ``per_class`` labelled documents of either class (a documented bound), chosen by the
-smallest hash among rows that aren't held out; scoring covers every word of every document, in batches.
+trained with Adam on whole texts, those of at most ``per_class`` labelled documents of either class and of
+``TRAIN_PASSAGES`` passages together (documented bounds): rows that aren't held out, by the smallest hash, left out from
+the one on that exceeds the passages. Training looks at passages as sparse counts. Scoring covers every word of every
+document, in batches.
 
 Defined results: a null text counts as empty; an empty text is one passage without words and gets that passage's
 score; null doc_ids are scored and count as held out, as do all rows that training may not see; repeated rows get one
 score each; labels without a document, with a null quality, or more than one row are ignored beyond the first; with
 no labels of either class every score is that of a model without evidence (the share of label 1, or 0.5 without any
-label); an empty table gives an empty one. Only text reaches the score.
+label); an empty table gives an empty one; a column named ``score`` is replaced. Only text reaches the score.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import text_bytes
+from lodestar.llm.common import slices, text_bytes
 
 PASSAGE = 128
 BUCKETS, WIDTH, HIDDEN, ATTENTION = 512, 8, 24, 12
 PER_CLASS = 1500
-#: Passages of a training document beyond these are spread evenly over its whole text, so one book can't fill memory.
-TRAIN_PASSAGES = 64
+#: Passages of all training documents together; they take about 30 MB on the driver.
+TRAIN_PASSAGES = 100_000
 THRESHOLD = 0.3
 SHAPES = 8
 #: Texts are laid side by side up to so many bytes, and passages looked at so many at once.
@@ -94,24 +96,14 @@ def _group(texts: list[bytes]):
     return shape, bucket, size, per_text
 
 
-def _thinned(shape, bucket, size, per_text, most: int):
-    """At most so many passages of each text, spread evenly over it."""
-    ends = np.cumsum(per_text)
-    kept = np.concatenate([np.arange(e - n, e) if n <= most else e - n + np.arange(most) * n // most for e, n in zip(ends, per_text)])
-    keep = np.zeros(len(size), bool)
-    keep[kept] = True
-    return shape[keep], bucket[np.repeat(keep, size)], size[keep], np.minimum(per_text, most)
-
-
-def passages(texts: list[bytes], most: int | None = None):
+def passages(texts: list[bytes]):
     """(shapes by passage, embedding buckets by word, words of each passage, passages of each text)"""
     found, held, total = [], [], 0
     for i, text in enumerate(texts):
         held.append(text)
         total += len(text)
         if total >= GROUP_BYTES or i == len(texts) - 1:
-            group = _group(held)
-            found.append(_thinned(*group, most) if most else group)
+            found.append(_group(held))
             held, total = [], 0
     if not found:
         return np.zeros((0, SHAPES + 1), np.float32), np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -126,6 +118,47 @@ def bags(buckets: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.sqrt(counts / np.maximum(size, 1).astype(np.float32)[:, None])
 
 
+class SparseBags:
+    """bags() without its zeros: rows, in order, with their buckets and values. ``bag @ E`` and ``bag.T @ x`` as dense."""
+
+    def __init__(self, ends: np.ndarray, column: np.ndarray, value: np.ndarray, turned: bool = False):
+        self.ends, self.column, self.value, self.turned = ends, column, value, turned
+
+    @classmethod
+    def of(cls, buckets: np.ndarray, size: np.ndarray) -> SparseBags:
+        columns, values, counts, word = [], [], [], np.concatenate([[0], np.cumsum(size)])
+        for lo in range(0, len(size), 4096):
+            own = size[lo : lo + 4096]
+            row = np.repeat(np.arange(len(own)), own)
+            flat, n = np.unique(row * BUCKETS + buckets[word[lo] : word[lo + len(own)]], return_counts=True)
+            columns.append((flat % BUCKETS).astype(np.uint16))
+            values.append(np.sqrt(n / own[flat // BUCKETS]).astype(np.float32))
+            counts.append(np.bincount(flat // BUCKETS, minlength=len(own)))
+        if not columns:
+            return cls(np.zeros(1, np.int64), np.zeros(0, np.uint16), np.zeros(0, np.float32))
+        return cls(np.concatenate([[0], np.cumsum(np.concatenate(counts))]), np.concatenate(columns), np.concatenate(values))
+
+    def __getitem__(self, rows: np.ndarray) -> SparseBags:
+        n = self.ends[rows + 1] - self.ends[rows]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(self.ends[rows] - ends[:-1], n) + np.arange(ends[-1])
+        return SparseBags(ends, self.column[at], self.value[at])
+
+    @property
+    def T(self) -> SparseBags:
+        return SparseBags(self.ends, self.column, self.value, True)
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        n = np.diff(self.ends)
+        if self.turned:
+            terms = self.value[:, None] * np.repeat(x, n, axis=0)
+            return np.stack([np.bincount(self.column, t, BUCKETS) for t in terms.T], axis=1).astype(x.dtype)
+        out, full = np.zeros((len(n), x.shape[1]), x.dtype), np.flatnonzero(n)
+        if len(full):
+            out[full] = np.add.reduceat(self.value[:, None] * x[self.column], self.ends[:-1][full], axis=0)
+        return out
+
+
 class Model:
     """Weights: E (buckets x width), W and b of the passage layer, V and U of gated attention, a, c and bias."""
 
@@ -177,8 +210,8 @@ class Model:
         return {"E": bag.T @ dx[:, :WIDTH], "W": x.T @ dy, "b": dy.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "a": (t * g).T @ de, "c": z.T @ d, "bias": np.array([d.sum()], np.float32)}
 
 
-def train(texts: list[bytes], labels: list[int], epochs: int = 40, batch: int = 256, rate: float = 0.01, decay: float = 1e-3) -> Model:
-    """Adam over the documents; the same texts give the same model."""
+def train(features: tuple, labels: list[int], epochs: int = 40, batch: int = 256, rate: float = 0.01, decay: float = 1e-3) -> Model:
+    """Adam over the documents, features being their passages(); the same texts give the same model."""
     model = Model.fresh()
     label = np.array(labels, np.float32)
     share = float(label.mean()) if len(label) else 0.5
@@ -186,8 +219,8 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 40, batch: int =
     if len(set(labels)) < 2:
         model.weights["c"][:] = 0
         return model
-    shape, bucket, size, per_text = passages(texts, TRAIN_PASSAGES)
-    bag = bags(bucket, size)
+    shape, bucket, size, per_text = features
+    bag = SparseBags.of(bucket, size)
     model.weights["mean"], model.weights["scale"] = shape.mean(axis=0), shape.std(axis=0) + np.float32(0.02)
     ends = np.cumsum(per_text)
     first, second, step, r = {}, {}, 0, np.random.default_rng(1)
@@ -210,8 +243,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[bytes], list[int]]:
-    """Texts and labels of at most per_class rows of either class, those of the smallest hashes, never held out ones."""
+def training_rows(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: int = TRAIN_PASSAGES) -> tuple[tuple, list[int]]:
+    """passages() and labels of at most per_class rows of either class, and most passages, those of the smallest hashes,
+    never held out ones."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id")))
     picked = None
     for q in (0, 1):
@@ -219,23 +253,23 @@ def training_rows(documents: DataFrame, labels: DataFrame, per_class: int = PER_
         picked = own if picked is None else picked.union(own)
     picked = picked.groupBy("doc_id").agg(F.min("quality").alias("quality"))  # 2 * per_class rows at most
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(documents).alias("text"))
-    most = TRAIN_PASSAGES * PASSAGE
+    kinds = "doc_id long, quality int, n long, shape binary, bucket binary, size binary"
 
-    def thin(batches):
-        """Of a long text, the passages that training looks at."""
+    def run(batches):
+        """Features in place of texts, a quarter of their size."""
         for batch in batches:
-            short = []
-            for text in batch.column("text").to_pylist():
-                words = text.split()
-                if len(words) > most:
-                    n = -(-len(words) // PASSAGE)
-                    words = [w for i in range(TRAIN_PASSAGES) for w in words[i * n // TRAIN_PASSAGES * PASSAGE :][:PASSAGE]]
-                short.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(short, pa.binary()), batch.column("quality")], names=["doc_id", "text", "quality"])
+            out = []
+            for doc_id, text, quality in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "quality"))):
+                shape, bucket, size, per_text = passages([text])
+                out.append((doc_id, quality, int(per_text[0]), shape.astype("<f4").tobytes(), bucket.astype("<u2").tobytes(), size.astype("<i8").tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=[k.split()[0] for k in kinds.split(", ")])
 
-    found = texts.join(F.broadcast(picked), "doc_id").mapInArrow(thin, "doc_id long, text binary, quality int").dropDuplicates(["doc_id"]).collect()
-    found.sort(key=lambda r: r["doc_id"])
-    return [bytes(r["text"]) for r in found], [r["quality"] for r in found]
+    made = texts.join(F.broadcast(picked), "doc_id").mapInArrow(run, kinds).dropDuplicates(["doc_id"])
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # of 2 * per_class rows
+    found = sorted(made.withColumn("upto", upto).where(F.col("upto") <= most).collect(), key=lambda r: r["doc_id"])
+    parts = [np.frombuffer(b"".join(bytes(r[c]) for r in found), d) for c, d in (("shape", "<f4"), ("bucket", "<u2"), ("size", "<i8"))]
+    return (parts[0].reshape(-1, SHAPES + 1), parts[1], parts[2], np.array([r["n"] for r in found], np.int64)), [r["quality"] for r in found]
 
 
 def _scores(model: Model, texts: list[bytes]) -> np.ndarray:
@@ -252,20 +286,19 @@ def _scores(model: Model, texts: list[bytes]) -> np.ndarray:
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """documents' columns with score added as a last column named ``score``; clashing names are the caller's to avoid."""
+    """documents' columns with score as the last one, in place of one of that name."""
     weights = model.weights
-    columns = [f for f in documents.schema.fields]
+    columns = [f for f in documents.schema.fields if f.name.lower() != "score"]
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns) + ", score double"
 
     def run(batches):
         own = Model(weights)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
+            for part in slices(batch, 128):
                 scores = _scores(own, [t if isinstance(t, bytes) else (t or "").encode() for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*part.schema.names, "score"])
 
-    return documents.mapInArrow(run, spec)
+    return documents.select(*[documents[f.name] for f in columns]).mapInArrow(run, spec)
 
 
 def classifier(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -286,8 +319,7 @@ def accepted(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -
     def run(batches):
         own = Model(weights)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
+            for part in slices(batch, 128):
                 scores = _scores(own, [(t or "").encode() for t in part.column("text").to_pylist()])
                 yield part.filter(pa.array(scores >= threshold))
 

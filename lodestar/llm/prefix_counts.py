@@ -33,7 +33,9 @@ from lodestar.llm.common import slices, stage
 
 LIMIT = 2048
 #: Entries of each table of a worker.
-MAX_WORDS, MAX_PAIRS = 200_000, 400_000
+MAX_WORDS, MAX_PAIRS = 300_000, 500_000
+#: Letters of a word's beginning that is remembered by itself.
+SHARED = 7
 #: A step of this size stands for one that takes more than a byte; those are kept beside the steps, in order.
 ESCAPE = -128
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -57,13 +59,8 @@ class Merges:
         #: token -> what it may follow, as far as known: True or False by the token before, within a word and at its end
         self.tokens = {t: ({} if t in inner else None, {} if t in ending else None) for t in inner | ending}
         self.longest, self.known = max(map(len, self.tokens)), 0
-
-    def release(self) -> None:
-        for one in self.tokens.values():
-            for follow in one:
-                if follow:
-                    follow.clear()
-        self.known = 0
+        #: what counts() has found for prefixes of up to SHARED letters, which many words share
+        self.states: dict[str, tuple[str, int, int]] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Merges of the lowest rank first, leftmost first among equals."""
@@ -93,7 +90,13 @@ class Merges:
         """Tokens of letters[:k], k = 0 to the length: with more to come, and as a whole word."""
         n, longest, look = len(letters), self.longest, self.tokens.get
         last, count, whole = [""] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        states = self.states
         for k in range(1, n + 1):
+            if k <= SHARED:
+                known = states.get(letters[:k])
+                if known is not None:
+                    last[k], count[k], whole[k] = known
+                    continue
             left = right = True
             for j in range(k - 1, max(-1, k - longest - 1), -1):
                 token = letters[j:k]
@@ -115,6 +118,8 @@ class Merges:
                             break
             if left or right:
                 raise ValueError(f"the vocabulary has no token for {letters[:k]!r}")
+            if k <= SHARED and len(states) < MAX_WORDS:
+                states[letters[:k]] = last[k], count[k], whole[k]
         return count, whole
 
 
@@ -129,8 +134,8 @@ class Prefixes:
         self.table: dict[str, bytes] = {}
 
     def release(self) -> None:
-        self.table = {}
-        self.merges.release()
+        """Forget the words; what is known of the vocabulary stays."""
+        self.table, self.merges.states = {}, {}
         self.encoder.release()
 
     def unit(self, unit: str) -> list[int]:

@@ -1,8 +1,11 @@
 """Quality rules by weak supervision, in DataFrame functions only.
 
-Each rule votes good, bad, or abstains. Expectation-maximisation over the counts of vote patterns (3**rules at most)
-estimates each rule's accuracy on good and on bad documents and the share of good documents without any label, and a document is kept if the
-posterior probability that it is good reaches ``THRESHOLD``. The base rules of the contract reject on their own.
+Each rule looks at one side of a text and votes good, bad, or abstains. Expectation-maximisation over the counts of vote
+patterns (3**rules at most) estimates, without any label, the share of good documents and each rule's two accuracies:
+how often its votes on good documents are good, and on bad ones bad. An abstention says nothing. A document is kept if
+the posterior probability that it is good reaches ``THRESHOLD``, so one rule may be overruled by the others; whatever
+odds are learned stand, none is clamped. The prior is worth ``PRIOR`` of the documents for each rule: nine of ten votes on
+good documents right, and half of those on bad ones. The base rules of the contract reject on their own.
 
 Defined results: a null text has no words, fails the base rules and isn't kept; a text without words has zeros
 throughout; null and repeated doc_ids are kept, one row out for each row in; an empty table gives an empty one; other
@@ -17,13 +20,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WORD_SPLIT, stage
+from lodestar.llm.common import SPACES, WORD_SPLIT, stage
 
 WINDOW = 8
 THRESHOLD = 0.5
-SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
-#: The share of good documents stays within these.
-LEAST, MOST = 0.05, 0.99
+SYMBOLS, ENDS = "#*$%&|<>", ".!?"
+MARKS = "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+PLAIN = "^\\p{L}+(?:['\u2019-]\\p{L}+)*[.,;:!?]*$"
+#: The prior's weight, as a share of the documents, and its votes that are right on good and on bad documents.
+PRIOR, PRIOR_GOOD, PRIOR_BAD = 0.05, 0.9, 0.5
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -54,7 +59,8 @@ def _repeated_words(hashes: Column, window: int) -> Column:
 
 
 def statistics(documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and n_lines, n_upper, n_distinct for the rules."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and for the rules n_lines, n_upper, n_ends,
+    n_marks, n_distinct, n_plain."""
     text = F.coalesce(F.col("text"), F.lit(""))
     solid = F.translate(F.col("_text"), SPACES, "")
     words = F.filter(F.split("_text", WORD_SPLIT), lambda w: w != "")
@@ -63,54 +69,52 @@ def statistics(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     def of_words(hashes: Column) -> Column:
         return F.struct(F.size(hashes).cast("long").alias("n_words"), F.size(F.array_distinct(hashes)).cast("long").alias("n_distinct"), _repeated_words(hashes, window).cast("long").alias("n_repeat_words"))
 
-    by_words = let(F.transform(words, lambda w: F.xxhash64(w)), of_words)
+    by_words = let(words, lambda x: F.struct(let(F.transform(x, lambda w: F.xxhash64(w)), of_words).alias("h"), F.size(F.filter(x, lambda w: w.rlike(PLAIN))).cast("long").alias("n_plain")))
     by_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    upper = F.length("_text") - F.length(F.translate(F.col("_text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    count = lambda marks: (F.length("_text") - F.length(F.translate(F.col("_text"), marks, ""))).cast("long")
+    counts = {"n_symbols": SYMBOLS, "n_upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "n_ends": ENDS, "n_marks": MARKS}
     return (
         documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text"))
-        .select("doc_id", by_words.alias("w"), by_lines.alias("l"), F.length(solid).cast("long").alias("word_chars"), (F.length("_text") - F.length(F.translate(F.col("_text"), SYMBOLS, ""))).cast("long").alias("n_symbols"), upper.cast("long").alias("n_upper"))
-        .select("doc_id", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_upper", "w.n_distinct")
+        .select("doc_id", by_words.alias("w"), by_lines.alias("l"), F.length(solid).cast("long").alias("word_chars"), *[count(v).alias(k) for k, v in counts.items()])
+        .select("doc_id", "w.h.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.h.n_repeat_words", "l.n_lines", "n_upper", "n_ends", "n_marks", "w.h.n_distinct", "w.n_plain")
     )
 
 
 def votes() -> dict[str, Column]:
-    """Rules over the statistics: 1 good, -1 bad, 0 abstains. Each but the last knows one sort of junk and abstains
-    elsewhere, since text free of one sort may well be of another; the last knows ordinary prose."""
+    """Rules over the statistics: 1 good, -1 bad, 0 abstains, as where a text is too short to tell."""
     words, chars, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
-    mean, symbols, upper = F.col("word_chars") / words, F.col("n_symbols") / words, F.col("n_upper") / chars
-    enough = F.col("n_words") >= 20
-    bad = {
-        "short": ~enough,
-        "word_length": enough & ((mean < 2) | (mean > 15)),
-        "symbols": symbols >= 0.1,
-        "upper": enough & (upper >= 0.3),
-        "repeat_lines": (F.col("n_lines") >= 3) & (F.col("n_dup_lines") / lines >= 0.3),
-        "repeat_words": F.col("n_repeat_words") / words >= 0.3,
-        "variety": enough & (F.col("n_distinct") / F.sqrt(words) < 2),
+    of = lambda name, whole: F.col(name) / whole
+    mean, lengths, variety, ends = of("word_chars", words), F.col("n_words"), F.col("n_distinct") / F.sqrt(words), of("n_ends", words)
+    rules = {  # enough to tell, good, bad
+        "word_length": (lengths >= 20, mean.between(4, 6.2), (mean < 3) | (mean > 7)),
+        "symbols": (lengths >= 1, of("n_symbols", words) <= 0.005, of("n_symbols", words) >= 0.05),
+        "upper": (lengths >= 20, of("n_upper", chars) <= 0.08, of("n_upper", chars) >= 0.2),
+        "lines": (F.col("n_lines") >= 3, of("n_dup_lines", lines) <= 0.05, of("n_dup_lines", lines) >= 0.3),
+        "repeats": (lengths >= 50, of("n_repeat_words", words) <= 0.02, of("n_repeat_words", words) >= 0.2),
+        "variety": (lengths >= 50, variety >= 5, variety < 2.5),
+        "sentences": (lengths >= 20, ends.between(0.02, 0.3), (ends >= 0.5) | (F.col("n_ends") == 0)),
+        "plain_words": (lengths >= 1, of("n_plain", words) >= 0.8, of("n_plain", words) < 0.6),
+        "marks": (lengths >= 1, of("n_marks", chars) <= 0.08, of("n_marks", chars) >= 0.15),
     }
-    plain = enough & mean.between(3, 10) & (symbols < 0.02) & (upper < 0.15) & (F.col("n_repeat_words") / words < 0.3)
-    return {k: F.when(x, -1).otherwise(0) for k, x in bad.items()} | {"prose": F.when(plain, 1).otherwise(0)}
+    return {k: F.when(enough & good, 1).when(enough & bad, -1).otherwise(0) for k, (enough, good, bad) in rules.items()}
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> tuple[float, list[dict[int, float]]]:
-    """Share of good documents and, for each rule, the log odds for "good" of each of its votes (an abstention is one
-    of three outcomes, with a probability of its own in either class), from (votes, documents) by
-    expectation-maximisation. It sets out from: whoever gets a bad vote is likely bad. A bad vote never speaks for a
-    document, nor a good one against it."""
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, prior: float = PRIOR) -> tuple[float, list[dict[int, float]]]:
+    """Share of good documents and, for each rule, the log odds for "good" of each of its votes, from (votes, documents)
+    by expectation-maximisation. It sets out from: whoever gets a bad vote is likely bad."""
     if not patterns:
         return 0.5, []
     rules, total = range(len(patterns[0][0])), sum(n for _, n in patterns)
+    weight = prior * total
     good = [0.05 if -1 in p else 0.95 for p, _ in patterns]
     for _ in range(rounds):
-        share = min(max(sum(g * n for g, (_, n) in zip(good, patterns)) / total, LEAST), MOST)
+        share = (sum(g * n for g, (_, n) in zip(good, patterns)) + weight) / (total + 2 * weight)
         odds = []
         for j in rules:
-            rate = {}
-            for c in (1, -1):
-                mass = {v: 0.5 + sum((g if c > 0 else 1 - g) * n for g, (p, n) in zip(good, patterns) if p[j] == v) for v in (-1, 0, 1)}
-                rate[c] = {v: m / sum(mass.values()) for v, m in mass.items()}
-            own = {v: math.log(rate[1][v] / rate[-1][v]) for v in (-1, 0, 1)}
-            odds.append({-1: min(0.0, own[-1]), 0: own[0], 1: max(0.0, own[1])})
+            mass = {(c, v): sum((g if c > 0 else 1 - g) * n for g, (p, n) in zip(good, patterns) if p[j] == v) for c in (1, -1) for v in (1, -1)}
+            right = (mass[1, 1] + PRIOR_GOOD * weight) / (mass[1, 1] + mass[1, -1] + weight)
+            caught = (mass[-1, -1] + PRIOR_BAD * weight) / (mass[-1, 1] + mass[-1, -1] + weight)
+            odds.append({1: math.log(right / (1 - caught)), 0: 0.0, -1: math.log((1 - right) / caught)})
         good = [posterior(p, share, odds) for p, _ in patterns]
     return share, odds
 

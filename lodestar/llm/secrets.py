@@ -1,11 +1,16 @@
 """Secret scans: a random forest removes the false positives among candidates, in DataFrame functions only.
 
 Candidates are found in the whole text: runs of credential characters of ``LEAST`` or more with a digit, values of any
-length that are assigned to a credential word or quoted behind one, and private-key blocks. Features are
-their length, transitions between kinds of characters, dictionary coverage, marks of paths and addresses, and the
-neighbouring words. The forest is trained by Spark ML on labelled findings (``labelled_findings`` makes a bounded,
-fixed set; callers may pass their own table of text, start, stop, label) and then written out as a column expression
-over the features, so that scanning is one projection of the text: no shuffle, no key, nothing to skew.
+length that are assigned to a credential word or quoted behind one, the password of an address (scheme://user:password@),
+words of ten or more characters that mix both cases, digits and signs, and private-key blocks. Features are their length,
+transitions between characters (how seldom each pair of neighbours is among the dictionary's words, and changes of kind),
+dictionary coverage, marks of paths and addresses, and the neighbouring words: those behind the candidate, and before it
+back to the candidate before, whose value counts as a neighbour too. The dictionary is a parameter; ``WORDS``, its
+default, is a list of common words of code, paths and forms made for this module. The forest is trained by Spark ML on
+labelled findings (``labelled_findings`` makes a bounded, fixed set; callers may pass their own table of text, start, stop,
+label) and then written out as a column expression over the features, so that scanning is one projection of the text: no
+shuffle, no key, nothing to skew. Its work is linear in the text and, but for positions (n * sqrt(n) at most), in the
+number of candidates.
 
 Defined results: a null or empty text has no findings; null and repeated doc_ids are kept, each row has its own
 findings; overlapping candidates don't occur; an empty table gives an empty one; columns other than doc_id and text
@@ -16,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +47,12 @@ ASSIGNED = (
     # The short looks behind come first, as the long ones are slow and most words are not behind a sign.
     rf"|(?<=[:=>\s])(?=[^\s\"':=])(?:(?<=[:=>]\s{{0,3}})(?!(?i:bearer|basic)\s)(?<={_NAME}{_SIGN})|(?<=[rRcC]\s)(?<=(?i:bearer|basic)\s)(?<={_NAME}{_SIGN}(?i:bearer|basic)\s)|(?<=[iI][sS]\s{{1,3}})(?<={_NAME}(?i:is)\s{{1,3}})(?=\S*[0-9!#$%&*@^+]))\S+?(?=[.,;)\]}}\"']*(?:\s|$))"
 )
+#: The password of an address, between the user's name and the @.
+ADDRESS = r"(?<=:)(?=[^\s/@\"']{1,200}@)(?<=://[^\s/:@]{0,64}:)[^\s/@\"']+"
+#: Words of both cases, digits and signs that are no path, address or assignment.
+MIXED = r"(?<![^\s\"'(])(?=[^\s!#$%&*?^]*[!#$%&*?^])(?=[^\sa-z]*[a-z])(?=[^\sA-Z]*[A-Z])(?=[^\s0-9]*[0-9])[A-Za-z0-9!#$%&*?^+~]{10,}(?![^\s\"').,;])"
 RUN = rf"(?<!{_RUN})(?=[A-Za-z_+/.~@%-]*[0-9]){_RUN}{{{LEAST},}}+={{0,2}}"
-CANDIDATE = f"{BLOCK}|{ASSIGNED}|{RUN}"
+CANDIDATE = f"{BLOCK}|{ASSIGNED}|{ADDRESS}|{MIXED}|{RUN}"
 
 WORDS = (
     "account address admin alpha archive article asset backup banner batch beta blog book build cache cart catalog chapter class client code color "
@@ -56,7 +66,7 @@ WORDS = (
 ).split()
 PUBLIC = r"(commit|sha-?(1|256|512)|md5|checksum|digest|hash|etag|uuid|guid|revision|build|version|isbn|doi|order|invoice|tracking|card|phone|tel|ip|example|sample|placeholder|dummy|https?:)"
 
-FEATURES = ("length", "transitions", "digits", "upper", "letters", "hex", "words", "longest_run", "path", "address", "dashes", "credential_before", "public_before", "assigned", "quoted", "prefix", "signs", "empty", "block")
+FEATURES = ("length", "transitions", "kinds", "digits", "upper", "letters", "hex", "words", "longest_run", "path", "address", "dashes", "credential_before", "public_before", "assigned", "quoted", "prefix", "signs", "empty", "block", "in_address")
 #: Values that stand for a secret or for none: words of code and forms, references, masks.
 EMPTY = r"(?i)^(null|none|nil|true|false|yes|no|undefined|empty|required|optional|string|str|text|int|invalid|incorrect|wrong|missing|expired|disabled|enabled|hidden|redacted|secret|password|token|changed|\[secret\]|your.*|my.*|enter.*|example.*|[*x.•_-]+|[$%{<].*|(os|process|env|self|this|config|settings|getenv)\b.*|[a-z_.]+\(.*|[0-9])$"
 
@@ -65,18 +75,47 @@ def _share(value: Column, pattern: str) -> Column:
     return F.lit(1.0) - F.length(F.regexp_replace(value, pattern, "")) / F.length(value)
 
 
-def features(value: Column, before: Column, after: Column) -> list[Column]:
+def pair_costs(dictionary: tuple[str, ...] = WORDS) -> list[float]:
+    """Bits of each pair of neighbours, by 28 * first + second: 1 to 26 for letters, 27 for digits, 0 for others. Pairs of
+    letters cost what their share among the dictionary's pairs says (with 0.2 added to each count), those of two
+    digits 3.3, others 5."""
+    costs = np.full((28, 28), 5.0)
+    counts = np.full((26, 26), 0.2)
+    for word in dictionary:
+        codes = [ord(c) - 97 for c in word if "a" <= c <= "z"]
+        for a, b in zip(codes, codes[1:]):
+            counts[a, b] += 1
+    costs[1:27, 1:27] = -np.log2(counts / counts.sum(axis=1, keepdims=True))
+    costs[27, 27] = 3.3
+    return [round(float(x), 3) for x in costs.ravel()]
+
+
+def transitions(value: Column, dictionary: tuple[str, ...] = WORDS) -> Column:
+    """Mean bits of the pairs of neighbours."""
+    table = F.expr("array(" + ", ".join(f"{x}D" for x in pair_costs(dictionary)) + ")")
+
+    def mean(codes: Column) -> Column:
+        n = F.size(codes)
+        costs = F.zip_with(F.slice(codes, 1, n - 1), F.slice(codes, 2, n - 1), lambda a, b: table[a * 28 + b])
+        return F.when(n < 2, F.lit(5.0)).otherwise(F.aggregate(costs, F.lit(0.0), lambda s, x: s + x) / (n - 1))
+
+    code = lambda c: F.when(c.between("a", "z"), F.ascii(c) - 96).when(c.between("0", "9"), F.lit(27)).otherwise(F.lit(0))
+    return let(F.transform(F.split(F.lower(value), ""), code), mean)
+
+
+def features(value: Column, before: Column, after: Column, dictionary: tuple[str, ...] = WORDS) -> list[Column]:
     """Of a candidate, the text before it and the text behind it, in the order of FEATURES."""
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "9")
     flag = lambda column, pattern: F.when(column.rlike(pattern), 1.0).otherwise(0.0)
     return [
         F.length(value).cast("double"),
+        transitions(value, dictionary),
         (F.length(shape) - 1) / F.length(value),
         _share(value, "[0-9]"),
         _share(value, "[A-Z]"),
         _share(value, "[A-Za-z]"),
         flag(value, "^([0-9a-f]+|[0-9A-F]+)$"),
-        _share(F.lower(value), "(" + "|".join(WORDS) + ")"),
+        _share(F.lower(value), "(" + "|".join(sorted(dictionary, key=len, reverse=True)) + ")"),
         F.array_max(F.transform(F.split(value, "[^A-Za-z]+"), lambda x: F.length(x))) / F.length(value),
         flag(value, r"/.*/|\.[a-z]{2,4}$|^/"),
         flag(value, r"@|^\d+(\.\d+){2,}|^\d{12,19}$|%"),
@@ -89,6 +128,7 @@ def features(value: Column, before: Column, after: Column) -> list[Column]:
         _share(value, r"[^A-Za-z0-9\s]"),
         flag(value, EMPTY),
         flag(value, "^-----BEGIN [A-Z0-9 ]*PRIVATE KEY"),
+        F.when(before.rlike("://[^\\s/:@]*:$") & after.rlike("^@"), 1.0).otherwise(0.0),
     ]
 
 
@@ -113,6 +153,8 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
         cat("password=", mark(cat(word("a"), number("n", 99)))), cat("pwd: ", mark(cat(F.initcap(word("a")), number("n", 9), "!", F.substring(letters, 1, 4)))), cat("password = \"", mark(cat(F.substring(base, 1, 5), "&", number("n", 99), "x!", F.substring(base, 9, 3))), "\""),
         cat("password=\"", mark(cat(F.lower(F.substring(letters, 1, 3)), word("a"), word("b"), word("c"))), "\""), cat("api_key=\"", mark(F.substring(letters, 1, 30)), "\""), cat("passwd: ", mark(F.substring(letters, 1, 20))), cat("secret = '", mark(F.lower(F.substring(letters, 1, 8))), "'"),
         cat("password is ", mark(cat(word("a"), number("n", 999)))), cat("DB_PASSWORD=", mark(cat(F.substring(base, 1, 4), "#", F.substring(base, 7, 4), "$"))), mark(cat("-----BEGIN RSA PRIVATE KEY-----\n", some(64), "\n-----END RSA PRIVATE KEY-----")), mark("-----BEGIN PRIVATE KEY-----"),
+        cat(word("p"), "://", word("u"), ":", mark(cat(F.substring(base, 1, 4), number("n", 99), F.substring(letters, 3, 5))), "@", word("h"), ".", word("g"), ".net/", word("b")), cat("redis://:", mark(F.substring(letters, 1, 12)), "@", word("h"), ":6379"),
+        mark(cat(F.substring(letters, 1, 3), number("n", 9), "$", F.lower(F.substring(letters, 4, 2)), "!", number("m", 9), F.upper(F.substring(letters, 6, 2)), "#", F.substring(letters, 9, 3))), cat("export API_TOKEN=", mark(F.substring(base, 1, 24))),
     ]
     plain = [
         cat("commit ", mark(hex_(40))), cat("sha256: ", mark(hex_(64))), cat("uuid ", mark(uuid)), mark(cat("/", word("a"), "/", word("b"), "/", word("c"), number("n", 999), ".", hex_(2))), mark(cat("https-", word("a"), ".", word("b"), number("n", 99), ".com/", word("c"), "/", number("m", 99999))),
@@ -120,6 +162,7 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
         mark(cat("4", F.lpad(number("n", 999999999), 9, "3"), F.lpad(number("m", 999999), 6, "1"))), mark(cat(F.lpad(number("a", 255), 3, "1"), ".", F.lpad(number("b", 255), 3, "1"), ".", F.lpad(number("c", 255), 3, "1"), ".", number("d", 255))),
         mark(cat(word("a"), "-", word("b"), "-", number("n", 99), ".", number("m", 99), ".", number("o", 99))), cat("password=", mark(cat(word("a"), word("b"), word("c"), number("n", 99)))), cat("md5 ", mark(hex_(32))), cat("password: ", mark(word("a"))), cat("token = ", mark(word("a"))), cat("auth: ", mark(pick_of("null", "true", "none", "required", "false", "disabled", "string", "incorrect", "expired"))), cat("password=", mark(cat("${", F.upper(word("a")), "_PASSWORD}"))), cat("password: \"", mark(pick_of("********", "your password", "<password>", "xxxxxxxx", "required", "example")), "\""),
         cat("secret = ", mark(cat("os.environ[", word("a"), "]"))), cat("token: ", mark(F.substring(number("n", 9), 1, 1))), cat("token = ", mark(cat("get_", word("a"), "()"))), cat("the pass: ", mark(cat(word("a"), "ed"))),
+        cat(word("p"), "://", word("u"), ":", mark(pick_of("password", "${PASS}", "<password>", "****", "8080", "pass")), "@", word("h"), ".com"), mark(cat(F.initcap(word("a")), "&", F.initcap(word("b")), number("n", 99), "!")), mark(cat(F.initcap(word("a")), "?", word("b"), number("m", 999), "&", word("c"))),
         mark(cat("20", number("a", 99), "-", number("b", 12), "-", number("c", 28), "T", number("d", 99), "Z", hex_(3))),
     ]
     pick = lambda options: F.element_at(F.array(*options), (F.pmod(F.col("id").bitwiseAND(0xFFFFFF) / 2, F.lit(len(options))) + 1).cast("int"))
@@ -128,17 +171,28 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
     return made.select(F.translate("line", "\x01\x02", "").alias("text"), (F.instr("line", "\x01") - 1).alias("start"), (F.instr("line", "\x02") - 2).alias("stop"), "label")
 
 
-def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list:
-    """The forest as nested tuples: a leaf's share of secrets, or (feature, threshold, below or equal, above)."""
+def featured(labelled: DataFrame, dictionary: tuple[str, ...] = WORDS) -> DataFrame:
+    """label and a column for each feature."""
+    value = F.expr("substring(text, start + 1, stop - start)")
+    before, after = F.expr(f"right(substring(text, 1, start), {NEAR})"), F.expr(f"substring(text, stop + 1, {NEAR})")
+    return labelled.select("label", *[c.cast("double").alias(n) for n, c in zip(FEATURES, features(value, before, after, dictionary))])
+
+
+def fitted(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, dictionary: tuple[str, ...] = WORDS):
+    """Spark ML's forest."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    value = F.expr("substring(text, start + 1, stop - start)")
-    before, after = F.expr(f"right(substring(text, 1, start), {NEAR})"), F.expr(f"substring(text, stop + 1, {NEAR})")
-    table = labelled.select("label", *[c.cast("double").alias(n) for n, c in zip(FEATURES, features(value, before, after))]).coalesce(1)
-    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table).select("label", "features")
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=3).fit(table)
+    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(featured(labelled, dictionary).coalesce(1)).select("label", "features")
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=3).fit(table)
+
 
+def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED, dictionary: tuple[str, ...] = WORDS) -> list:
+    """The forest as nested tuples: a leaf's share of secrets, or (feature, threshold, below or equal, above)."""
+    return written_out(fitted(labelled, trees, depth, seed, dictionary))
+
+
+def written_out(model) -> list:
     def grown(node):
         if node.subtreeDepth() == 0:
             stats = list(node.impurityStats().stats())
@@ -161,50 +215,59 @@ def probability(forest: list, feature: Callable[[int], Column]) -> Column:
     return total / len(forest)
 
 
-def scan(text: Column, forest: list, threshold: float = THRESHOLD) -> Column:
-    """Array of (start, stop, value, score, is_secret) of a text's candidates, in order."""
+def scan(text: Column, forest: list, threshold: float = THRESHOLD, dictionary: tuple[str, ...] = WORDS) -> Column:
+    """Struct of items, an array of (gap, value, score, is_secret) of a text's candidates in order, gap being the text
+    since the candidate before, and tail, the text behind the last; null without candidates."""
+
+    def judged(x: Column) -> Column:
+        before = F.right(F.concat(F.right(x["previous"], F.lit(NEAR)), F.right(x["gap"], F.lit(NEAR))), F.lit(NEAR))
+        near = features(x["value"], before, F.left(x["after"], F.lit(NEAR)), dictionary)
+        score = let(F.array(*[c.cast("double") for c in near]), lambda f: probability(forest, lambda i: f[i]))
+        return let(score, lambda s: F.struct(x["gap"].alias("gap"), x["value"].alias("value"), s.alias("score"), (s >= threshold).alias("is_secret")))
 
     def placed(values: Column) -> Column:
+        n = F.size(values)
+
         def around(gaps: Column) -> Column:
-            # gaps[i] comes before value i; positions run on from one to the next
-            steps = F.zip_with(F.slice(gaps, 1, F.size(values)), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-            empty = F.expr("cast(array() as array<struct<start:int,stop:int>>)")
-            ends = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")), lambda s, x: F.struct((s["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + F.length(x["gap"])).alias("start"), (s["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("stop")))).alias("out")))["out"]
-            return F.transform(F.arrays_zip(values.alias("value"), F.slice(gaps, 2, F.size(values)).alias("after"), ends.alias("span")), judged)
+            rows = F.arrays_zip(values.alias("value"), F.slice(gaps, 1, n).alias("gap"), F.slice(gaps, 2, n).alias("after"), F.concat(F.array(F.lit("")), F.slice(values, 1, n - 1)).alias("previous"))
+            return F.struct(F.transform(rows, judged).alias("items"), F.element_at(gaps, -1).alias("tail"))
 
         return let(F.split(text, CANDIDATE), around)
 
-    def judged(x: Column) -> Column:
-        # Of the whole text, as in training: a candidate may begin where another one ends.
-        start = x["span"]["start"]
-        near = features(x["value"], F.substring(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR))), F.left(x["after"], F.lit(NEAR)))
-        score = let(F.array(*[c.cast("double") for c in near]), lambda f: probability(forest, lambda i: f[i]))
-        return let(score, lambda s: F.struct(x["span"]["start"].alias("start"), x["span"]["stop"].alias("stop"), x["value"].alias("value"), s.alias("score"), (s >= threshold).alias("is_secret")))
-
     return let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda v: F.when(F.size(v) > 0, placed(v)))
 
 
-def findings(documents: DataFrame, forest: list, threshold: float = THRESHOLD) -> DataFrame:
+def sums_before(lengths: Column, group: int = 128) -> Column:
+    """For each of an array of numbers the sum of those before it. Arrays that grow step by step are copied at each step,
+    so they grow within groups only, and over the groups' sums."""
+    running = lambda x, start: F.aggregate(x, F.struct(start.alias("at"), F.expr("cast(array() as array<long>)").alias("out")), lambda s, v: F.struct((s["at"] + v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+    zero = F.lit(0).cast("long")
+
+    def joined(groups: Column) -> Column:
+        starts = running(F.transform(groups, lambda x: F.aggregate(x, zero, lambda s, v: s + v)), zero)
+        return F.flatten(F.zip_with(groups, starts, lambda x, start: running(x, start)))
+
+    return let(F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / group).cast("int")), lambda g: F.slice(lengths, g * group + 1, group)), joined)
+
+
+def findings(documents: DataFrame, forest: list, threshold: float = THRESHOLD, dictionary: tuple[str, ...] = WORDS) -> DataFrame:
     """doc_id, start, stop, value, score, is_secret: one row for each candidate."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"))
-    return docs.select("doc_id", F.explode(scan(F.col("_text"), forest, threshold)).alias("f")).select("doc_id", "f.start", "f.stop", "f.value", F.round("f.score", 6).alias("score"), "f.is_secret")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), scan(F.col("text"), forest, threshold, dictionary)["items"].alias("items")).where("items is not null")
+    lengths = F.transform("items", lambda x: (F.length(x["gap"]) + F.length(x["value"])).cast("long"))
+    rows = docs.select("doc_id", F.explode(F.arrays_zip("items", sums_before(lengths).alias("at"))).alias("f"))
+    start, item = (F.col("f.at") + F.length("f.items.gap")).cast("int"), F.col("f.items")
+    return rows.select("doc_id", start.alias("start"), (start + F.length(item["value"])).alias("stop"), item["value"].alias("value"), F.round(item["score"], 6).alias("score"), item["is_secret"].alias("is_secret"))
 
 
-def redacted(documents: DataFrame, forest: list, threshold: float = THRESHOLD) -> DataFrame:
+def redacted(documents: DataFrame, forest: list, threshold: float = THRESHOLD, dictionary: tuple[str, ...] = WORDS) -> DataFrame:
     """documents with each secret in text replaced by MARK; other text and columns stay as they are."""
+    text = documents["text"]
 
     def cut(found: Column) -> Column:
-        def step(s: Column, f: Column) -> Column:
-            n = f["start"] - s["at"]
-            return F.struct(f["stop"].alias("at"), F.concat(s["out"], F.array(F.substring(documents["text"], s["at"] + 1, n), F.lit(MARK))).alias("out"))
-
-        empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-        done = F.aggregate(found, empty, step)
-        return let(done, lambda d: F.array_join(F.concat(d["out"], F.array(F.substring(documents["text"], d["at"] + 1, F.length(documents["text"])))), ""))
+        parts = F.transform(found["items"], lambda x: F.concat(x["gap"], F.when(x["is_secret"], F.lit(MARK)).otherwise(x["value"])))
+        return F.array_join(F.concat(parts, F.array(found["tail"])), "")
 
-    secret = F.filter(scan(documents["text"], forest, threshold), lambda f: f["is_secret"])
-    text = F.coalesce(let(secret, lambda f: F.when(F.size(f) > 0, cut(f))), documents["text"])
-    return documents.withColumn("text", text)
+    return documents.withColumn("text", F.coalesce(let(scan(text, forest, threshold, dictionary), cut), text))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

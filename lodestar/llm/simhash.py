@@ -17,7 +17,6 @@ an empty one; columns other than doc_id and text are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import stage, text_bytes
+from lodestar.functions.joins import join_keys
+from lodestar.llm.common import slices, stage, text_bytes
 from lodestar.llm.components import components
 
 SHINGLE = 4
@@ -63,8 +63,9 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            prints = np.fromiter((fingerprint(t, shingle) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            for part in slices(batch):
+                prints = np.fromiter((fingerprint(t, shingle) for t in part.column("text").to_pylist()), np.uint64, part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(documents).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
@@ -178,52 +179,14 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
     least fp); one row for each document."""
     docs, _ = stage(fingerprints(documents, shingle), "op4-prints")
     # Exact copies and any other documents of one fingerprint meet here, combined before the shuffle.
-    distinct, _ = stage(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "op4-distinct")
+    distinct, _ = stage(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("docs")), "op4-distinct")
+    size, total = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("docs"), F.lit(0))).first()
     root = components(links(distinct, radius))
-    named = distinct.join(root, distinct.fp == root.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    # A component may hold a third of all fingerprints: its least doc_id is an aggregate, and goes back by a join.
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = named.join(least, "root").select("fp", "component_id", "root")
-    return docs.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp", "root")
-
-
-def representatives(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """documents without near copies: of each component the row with the least doc_id (a null one comes last), and of
-    rows with one doc_id and one fingerprint a single one. All columns stay as they are."""
-    found, _ = stage(near_duplicates(documents, radius, shingle).select("doc_id", "fp", "root"), "near-duplicates")
-    return one_of_each(documents, found, lambda text: fingerprint(text, shingle))
-
-
-def one_of_each(documents: DataFrame, found: DataFrame, print_of: Callable[[bytes], int]) -> DataFrame:
-    """found: staged doc_id, fp, root (the component), a row for each document; print_of: a text's fp, unsigned. Components
-    are told apart by root, as all that have no doc_id would share a null one."""
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
-    rows = found.groupBy("root", "doc_id", "fp").agg(F.count(F.lit(1)).alias("n"))
-    kept, _ = stage(rows.groupBy("root").agg(F.min(first).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.fp").alias("_fp")), "representatives")
-    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    # As many rows are kept as there are components, so they are never broadcast, whatever the size: texts are dealt
-    # once by their ids.
-    kept = kept.hint("merge")
-    same = F.col("_id").eqNullSafe(documents["doc_id"].cast("long"))
-    if not repeated.take(1):
-        return documents.join(kept, same, "left_semi")
-    repeated, _ = stage(repeated, "repeated-ids")
-    often = F.col("doc_id").eqNullSafe(F.col("_id"))
-    once = documents.join(kept.join(repeated, often, "left_anti").hint("merge"), same, "left_semi")
-    # Rows that share their doc_id are told apart by their fingerprints; few, unless ids are bad throughout.
-    unclear = documents.join(kept.join(repeated, often, "left_semi").hint("merge"), same, "left_semi")
-    names = documents.columns
-
-    def printed(batches):
-        for batch in batches:
-            prints = [print_of((t or "").encode()) for t in batch.column("text").to_pylist()]
-            yield batch.append_column("_fp", pa.array(np.array(prints, np.uint64).view(np.int64)))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields) + ", _fp long"
-    told = unclear.mapInArrow(printed, schema).withColumn("_own", F.col("doc_id").cast("long"))
-    named = kept.withColumnsRenamed({"_id": "_kid", "_fp": "_kfp"})
-    told = told.join(named, F.col("_own").eqNullSafe(F.col("_kid")) & (F.col("_fp") == F.col("_kfp")), "left_semi")
-    return once.union(told.dropDuplicates(["_own", "_fp"]).select(*names))
+    named, _ = stage(distinct.join(root, distinct.fp == root.node, "left").select("fp", "first", "docs", F.coalesce("root", "fp").alias("root")), "op4-named")
+    # A component may hold a third of all fingerprints, and a fingerprint a third of all documents: see join_keys.
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    labels, _ = stage(join_keys(named, least, "root", size).select("fp", "component_id", "root", F.col("docs").alias("n")), "op4-labels")
+    return join_keys(docs, labels, "fp", total).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp", "root")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
