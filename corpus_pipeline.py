@@ -7,7 +7,13 @@ as Parquet and read again as the next stage's docs. All but the last return the
   near_duplicates     keeps one document of each component of texts with a five-word shingle similarity of 0.8 or more
   secret_scan         replaces secrets in texts; keeps every document
   source_mixing       repeats or drops documents so that sources come near their target weights
-  packing             one row for each piece of a document, with its sequence and offset
+  packing             one row for each piece of a document, with its token ids, sequence and offset
+
+Defined results: a null text counts as empty, is scored like an empty one, is a copy of other texts without words, stays
+null in the secret scan, has size 0 in the mix and is one end id in the packing; null doc_ids count as held out of
+training and are kept (of a component with others, one that has an id is); rows that share their doc_id are documents of
+their own; equal rows are one document after near_duplicates; an empty table passes through every stage as one; extra
+columns, whatever their names, reach the packing stage unchanged, which returns its own columns only.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import mil, minhash, mixing, packing, secrets
+from lodestar.llm import mil, mixing, packing, secrets, simhash_blocks
 from lodestar.llm.common import stage
 
 
@@ -24,7 +30,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.representatives(docs, least=0.8, shingle=5)
+    return simhash_blocks.representatives(docs, least=0.8, shingle=5)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +45,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.cut_documents(docs))
+    return packing.pack(packing.cut_documents(docs, with_ids=True))
 
 
 STAGES = [
