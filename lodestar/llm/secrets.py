@@ -50,9 +50,10 @@ ASSIGNED = (
 #: The password of an address, between the user's name and the @.
 ADDRESS = r"(?<=:)(?=[^\s/@\"']{1,200}@)(?<=://[^\s/:@]{0,64}:)[^\s/@\"']+"
 #: Words of both cases, digits and signs that are no path, address or assignment.
-MIXED = r"(?<![^\s\"'(])(?=[^\s!#$%&*?^]*[!#$%&*?^])(?=[^\sa-z]*[a-z])(?=[^\sA-Z]*[A-Z])(?=[^\s0-9]*[0-9])[A-Za-z0-9!#$%&*?^+~]{10,}(?![^\s\"').,;])"
+MIXED = r"(?:\A|(?<=[\s\"'(]))(?=[A-Za-z0-9!#$%&*?^+~]{10})(?=[A-Za-z0-9+~]*[!#$%&*?^])(?=[A-Z0-9!#$%&*?^+~]*[a-z])(?=[a-z0-9!#$%&*?^+~]*[A-Z])(?=[A-Za-z!#$%&*?^+~]*[0-9])[A-Za-z0-9!#$%&*?^+~]{10,}(?![^\s\"').,;])"
 RUN = rf"(?<!{_RUN})(?=[A-Za-z_+/.~@%-]*[0-9]){_RUN}{{{LEAST},}}+={{0,2}}"
-CANDIDATE = f"{BLOCK}|{ASSIGNED}|{ADDRESS}|{MIXED}|{RUN}"
+# None but a block begins right behind a letter or digit, which rules out most places at once.
+CANDIDATE = f"{BLOCK}|(?<![A-Za-z0-9])(?:{ASSIGNED}|{ADDRESS}|{MIXED}|{RUN})"
 
 WORDS = (
     "account address admin alpha archive article asset backup banner batch beta blog book build cache cart catalog chapter class client code color "
@@ -139,7 +140,7 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
     base = F.regexp_replace(F.base64(F.unhex(digest("b"))), "[=\\s]", "")
     letters = F.regexp_replace(base, "[^A-Za-z]", "")
     upper = F.regexp_replace(F.upper(base), "[^A-Z0-9]", "")
-    word = lambda salt: F.element_at(F.array(*[F.lit(w) for w in WORDS]), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(WORDS))) + 1).cast("int"))
+    word = lambda salt: F.element_at(F.split(F.lit(" ".join(WORDS)), " "), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(WORDS))) + 1).cast("int"))
     number = lambda salt, most: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(most)).cast("string")
     hex_ = lambda n: F.substring(digest("h"), 1, n)
     cat = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
