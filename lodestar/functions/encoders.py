@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.functions.registry import registry
 from lodestar.functions.vectors import l2_normalize
@@ -81,7 +82,7 @@ class HashingEncoder(Encoder):
         row = F.struct(*[rows[f.name] for f in kept]).alias("_row")
         words = F.filter(F.split(F.lower(F.coalesce(rows[text].cast("string"), F.lit(""))), "[^a-z0-9]+"), lambda w: w != "").alias("_words")
         packed = rows.select(row, words)
-        made = packed.mapInArrow(run, f"_row {packed.schema['_row'].dataType.simpleString()}, embedding array<double>")
+        made = packed.mapInArrow(run, T.StructType([packed.schema["_row"], T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
         return self._finished(made.select("_row.*", "embedding"))
 
 
