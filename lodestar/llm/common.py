@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that a Python worker gets at once while a table is staged.
+BATCH_ROWS = 512
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Words of the query contracts: maximal runs of anything but ASCII white space. ``bytes.split()`` gives the same.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 #: Its characters.
@@ -33,14 +38,40 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
-    """Write df as a table in the shared folder and read it back: lineage ends here, and an executor's loss costs nothing."""
+def stage(df: DataFrame, name: str, codec: str = "zstd", batch_rows: int = BATCH_ROWS) -> tuple[DataFrame, str]:
+    """Write df as a table in the shared folder and read it back: lineage ends here, and an executor's loss costs nothing.
+    Python workers get batch_rows rows at a time meanwhile, as the default number of whole texts fills memory."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(_BATCH_ROWS)
+    spark.conf.set(_BATCH_ROWS, str(min(int(before) if int(before) > 0 else batch_rows, batch_rows)))
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker outlives its task, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run):
+    """run, a function from batches to batches, with release() behind the last one."""
+
+    def released(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return released
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete staged tables that nothing lazy reads any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

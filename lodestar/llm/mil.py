@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import slices, text_bytes
+from lodestar.llm.common import slices, text_bytes, tidy
 
 PASSAGE = 128
 BUCKETS, WIDTH, HIDDEN, ATTENTION = 512, 8, 24, 12
@@ -298,7 +298,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
                 scores = _scores(own, [t if isinstance(t, bytes) else (t or "").encode() for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*part.schema.names, "score"])
 
-    return documents.select(*[documents[f.name] for f in columns]).mapInArrow(run, spec)
+    return documents.select(*[documents[f.name] for f in columns]).mapInArrow(tidy(run), spec)
 
 
 def classifier(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -323,4 +323,4 @@ def accepted(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -
                 scores = _scores(own, [(t or "").encode() for t in part.column("text").to_pylist()])
                 yield part.filter(pa.array(scores >= threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lodestar.llm.common import stage, text_bytes
+from lodestar.llm.common import stage, text_bytes, tidy
 
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
@@ -69,7 +69,7 @@ def sizes(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "h", "g")), n], names=["doc_id", "source", "h", "g", "size"])
 
     docs = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["source"].cast("string").alias("source"), hash_of(documents).alias("h"), second_hash(documents).alias("g"), text_bytes(documents).alias("text"))
-    return stage(docs.mapInArrow(count, "doc_id long, source string, h long, g long, size long"), "op7-sizes")[0]
+    return stage(docs.mapInArrow(tidy(count), "doc_id long, source string, h long, g long, size long"), "op7-sizes")[0]
 
 
 def targets(totals: list[tuple[str | None, int]], weights: tuple = WEIGHTS, most_times: int = MOST_TIMES) -> list[float]:

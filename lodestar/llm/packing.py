@@ -24,19 +24,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import tokens
-from lodestar.llm.common import slices, stage
+from lodestar.llm.common import slices, stage, tidy
 
 CAPACITY = 2048
 END_ID = 0
 
-_PIECE = "part int, doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Ids of a part, whose pieces are placed together: about so many bytes.
+PART_BYTES = 8 << 20
+
+_PIECE = "part long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _cut(vocabulary: str, end_id: int, capacity: int, with_ids: bool):
-    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids)
+    schema = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids)
 
     def run(batches):
-        part, encoder = TaskContext.get().partitionId(), tokens.encoder(vocabulary)
+        task, filled, encoder = TaskContext.get().partitionId() << 32, 0, tokens.encoder(vocabulary)
         for batch in batches:
             for rows in slices(batch):
                 ids, sizes = encoder.encode(rows.column("text").to_pylist())
@@ -44,6 +47,7 @@ def _cut(vocabulary: str, end_id: int, capacity: int, with_ids: bool):
                 ids = np.insert(ids, ends, end_id).astype("<u4")
                 data, at, out = memoryview(ids.tobytes()), 0, []
                 for doc_id, size in zip(rows.column("doc_id").to_pylist(), (sizes + 1).tolist()):
+                    part, filled = task + filled // PART_BYTES, filled + 4 * size
                     for k, start in enumerate(range(0, size, capacity)):
                         n = min(capacity, size - start)
                         own = data[4 * (at + start) : 4 * (at + start + n)]
@@ -135,7 +139,7 @@ class Plan:
 def cut_documents(documents: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents, staged: part, doc_id, piece, start, length, ids_crc32 (and ids, if asked for)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return stage(docs.mapInArrow(_cut(vocabulary or tokens.default_path(), end_id, capacity, with_ids), _PIECE + ", ids binary" * with_ids), "op5-pieces")[0]
+    return stage(docs.mapInArrow(tidy(_cut(vocabulary or tokens.default_path(), end_id, capacity, with_ids)), _PIECE + ", ids binary" * with_ids), "op5-pieces")[0]
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import tokens
-from lodestar.llm.common import slices, stage
+from lodestar.llm.common import slices, stage, tidy
 
 LIMIT = 2048
 #: Entries of each table of a worker.
@@ -243,7 +243,7 @@ def prefix_table(documents: DataFrame, vocabulary: str | None = None) -> DataFra
 
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, steps binary, long_steps array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_bytes long, steps binary, long_steps array<long>")
 
 
 def prefix_counts(steps: bytes, long_steps: list[int]) -> np.ndarray:

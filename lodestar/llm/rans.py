@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import tokens
-from lodestar.llm.common import drop, new_path, slices, stage, total_bytes
+from lodestar.llm.common import drop, new_path, slices, stage, tidy, total_bytes
 
 PRECISION = 22
 LOW = np.uint64(1 << 31)
@@ -239,13 +239,13 @@ def write_token_files(documents: DataFrame, path: str, vocabulary: str | None =
     # The last key parts rows that are equal in all else, however many there are.
     order = ["doc_id", "_hash", "_part"]
     dealt = docs.withColumns({"_hash": F.xxhash64("text"), "_part": F.rand(5)}).repartitionByRange(n_shards, *order).sortWithinPartitions("doc_id", "_hash", "text")
-    raw, staged = stage(dealt.select("doc_id", "text").mapInArrow(_tokenize(vocabulary or tokens.default_path(), end_id, block_tokens), _BLOCK), "op1-ids")
+    raw, staged = stage(dealt.select("doc_id", "text").mapInArrow(tidy(_tokenize(vocabulary or tokens.default_path(), end_id, block_tokens)), _BLOCK), "op1-ids")
     # One row per symbol, so as many as the vocabulary has at most.
     counted = raw.select("ids", "n_tokens").mapInArrow(_count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).orderBy("symbol").collect()
     symbols = [r["symbol"] for r in counted]
     scaled = scaled_frequencies(np.array([r["n"] for r in counted], np.int64)).tolist() if counted else []
     spark.createDataFrame(list(zip(symbols, map(int, scaled))), "symbol long, frequency long").coalesce(1).write.parquet(f"{path}/symbols")
-    raw.mapInArrow(_encode(symbols, scaled, lanes, step_tokens), _CODED).write.option("compression", "none").parquet(f"{path}/blocks")
+    raw.mapInArrow(tidy(_encode(symbols, scaled, lanes, step_tokens)), _CODED).write.option("compression", "none").parquet(f"{path}/blocks")
     _shard_starts(spark.read.schema(_CODED).parquet(f"{path}/blocks")).write.parquet(f"{path}/shards")
     drop(spark, staged)
     return path
@@ -317,7 +317,7 @@ def read_pieces(spark: SparkSession, path: str, check: bool = True) -> DataFrame
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return spark.read.schema(_CODED).parquet(f"{path}/blocks").mapInArrow(run, _PIECE)
+    return spark.read.schema(_CODED).parquet(f"{path}/blocks").mapInArrow(tidy(run), _PIECE)
 
 
 def _times(matrix: list[int], vector: int) -> int:

@@ -101,12 +101,12 @@ def votes() -> dict[str, Column]:
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, prior: float = PRIOR) -> tuple[float, list[dict[int, float]]]:
     """Share of good documents and, for each rule, the log odds for "good" of each of its votes, from (votes, documents)
-    by expectation-maximisation. It sets out from: whoever gets a bad vote is likely bad."""
+    by expectation-maximisation. It sets out from: the more good votes outnumber bad ones, the likelier good."""
     if not patterns:
         return 0.5, []
     rules, total = range(len(patterns[0][0])), sum(n for _, n in patterns)
     weight = prior * total
-    good = [0.05 if -1 in p else 0.95 for p, _ in patterns]
+    good = [1 / (1 + math.exp(-sum(p))) for p, _ in patterns]
     for _ in range(rounds):
         share = (sum(g * n for g, (_, n) in zip(good, patterns)) + weight) / (total + 2 * weight)
         odds = []

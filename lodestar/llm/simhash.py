@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.joins import join_keys
-from lodestar.llm.common import slices, stage, text_bytes
+from lodestar.llm.common import slices, stage, text_bytes, tidy
 from lodestar.llm.components import components
 
 SHINGLE = 4
@@ -67,7 +67,7 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 prints = np.fromiter((fingerprint(t, shingle) for t in part.column("text").to_pylist()), np.uint64, part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(documents).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(documents).alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _flips(bits: list[int], most: int) -> list[int]:

@@ -27,8 +27,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestar.llm.common import SPACES, slices, stage, text_bytes
+from lodestar.llm.common import release, slices, stage, text_bytes, tidy
 from lodestar.llm.components import components
 
 SHINGLE, LEAST, RECALL = 5, 0.8, 0.995
@@ -94,24 +95,26 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def text_key(text):
-    """64-bit hash of a text's lower-case words; 0 without words. A column expression."""
-    words = F.trim(F.regexp_replace(F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), f"[{SPACES}]+", " "))
-    return F.when(words == "", F.lit(0).cast("long")).otherwise(F.xxhash64(words))
+def text_key(text: bytes) -> int:
+    """64-bit hash of a text's lower-case words, signed; 0 without words."""
+    words = text.lower().split()
+    h = xxhash.xxh64_intdigest(b" ".join(words), SEED) if words else 0
+    return h - (1 << 64) if h >> 63 else h
 
 
 def prints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """fp (text_key) and print (array of longs), one row for each distinct word sequence, staged."""
+    """id, fp (text_key) and print (array of longs), one row for each document, staged."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                found = np.stack([long_print(shingles(t, shingle)) for t in part.column("text").to_pylist()]).view(np.int64)
+                texts = part.column("text").to_pylist()
+                found = np.stack([long_print(shingles(t, shingle)) for t in texts]).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("fp"), lists], names=["fp", "print"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([text_key(t) for t in texts], pa.int64()), lists], names=["id", "fp", "print"])
 
-    texts = documents.select(text_key(F.col("text")).alias("fp"), text_bytes(documents).alias("text")).where("fp <> 0")
-    return stage(texts.mapInArrow(run, "fp long, print array<long>").groupBy("fp").agg(F.first("print").alias("print")), "long-prints")[0]
+    rows = documents.select(documents["doc_id"].cast("long").alias("id"), text_bytes(documents).alias("text"))
+    return stage(rows.mapInArrow(tidy(run), "id long, fp long, print array<long>"), "long-prints")[0]
 
 
 def variant_groups(value: np.ndarray, left: np.ndarray, fixed: int, bits: int, at_once: int = AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -211,9 +214,10 @@ def meetings(texts: DataFrame, size: int, least: float, what: Callable, schema:
         left = 1 - np.bitwise_count(flip).astype(np.int64)
         for columns in what(variant_groups(value ^ flip, left, route, bits), fp, extra):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=kinds)
+        release()
 
     rows = texts.select("fp", "print", (F.col(more) if more else F.lit(0)).cast("long").alias("more"))
-    packed = rows.mapInArrow(emit, "bucket int, value binary, fp binary, more binary")
+    packed = rows.mapInArrow(tidy(emit), "bucket int, value binary, fp binary, more binary")
     return packed.repartition(min(number << route, 4096), "bucket").groupBy("bucket").applyInArrow(meet, schema)
 
 
@@ -274,20 +278,26 @@ def similar(documents: DataFrame, pairs: DataFrame, least: float = LEAST, shingl
                     keep.append(jaccard(mine, shingles(y, shingle)) >= least)
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    def named(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([text_key(t.as_py()) for t in batch.column("text")], pa.int64()), batch.column("text")], names=["fp", "text"])
+
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = documents.select(text_key(F.col("text")).alias("fp"), text_bytes(documents).alias("text"))
+    texts = documents.select(text_bytes(documents).alias("text")).mapInArrow(tidy(named), "fp long, text binary")
     # Exact copies, however many, are one text here, combined before the shuffle.
     distinct = texts.groupBy("fp").agg(F.first("text").alias("text"))
     needed, _ = stage(distinct.join(nodes.hint("merge"), F.col("fp") == F.col("node"), "left_semi"), "pair-texts")
     x = needed.select(F.col("fp").alias("a"), F.col("text").alias("x"))
     y = needed.select(F.col("fp").alias("b"), F.col("text").alias("y"))
-    return stage(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"), "similar")[0]
+    return stage(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(tidy(compared), "a long, b long"), "similar")[0]
 
 
-def near_duplicates(documents: DataFrame, least: float = LEAST, shingle: int = SHINGLE) -> DataFrame:
-    """fp, root (the component's least fp), staged; one row for each distinct word sequence that has a partner."""
-    texts = prints(documents, shingle)
-    size = texts.count()
+def near_duplicates(documents: DataFrame, least: float = LEAST, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) of each document, and (fp, root), the component's least fp, of each distinct word sequence that has a
+    partner; both staged."""
+    rows = prints(documents, shingle)
+    texts, _ = stage(rows.where("fp <> 0").groupBy("fp").agg(F.first("print").alias("print")), "distinct-prints")
+    size, rows = texts.count(), rows.select("id", "fp")
     met, _ = stage(meetings(texts, size, least, _count, "fp long, met long").groupBy("fp").agg(F.sum("met").alias("met")), "met")
     texts, _ = stage(texts.join(met.hint("merge"), "fp"), "long-prints-met")
     first, _ = stage(close_prints(meetings(texts, size, least, _star_pairs, "a long, b long", "met").distinct(), texts, least), "star-pairs")
@@ -296,22 +306,26 @@ def near_duplicates(documents: DataFrame, least: float = LEAST, shingle: int = S
     parts, _ = stage(texts.join(root.hint("merge"), "fp", "left").select("fp", "print", F.coalesce("root", "fp").alias("root")), "parts")
     rest = meetings(parts, size, least, _cross_pairs, "a long, b long", "root").distinct().join(first.hint("merge"), ["a", "b"], "left_anti")
     rest, _ = stage(close_prints(rest, texts, least), "cross-pairs")
-    more = similar(documents, rest, least, shingle)
-    if not more.take(1):
-        return root
-    return components(links.union(more)).withColumnRenamed("node", "fp")
+    if rest.take(1):
+        root = components(links.union(similar(documents, rest, least, shingle))).withColumnRenamed("node", "fp")
+    return rows, root
 
 
 def representatives(documents: DataFrame, least: float = LEAST, shingle: int = SHINGLE) -> DataFrame:
     """documents without near copies: of each component the row with the least doc_id (a null one comes last), and of
     rows with one doc_id and one word sequence a single one. All columns stay as they are, whatever their names."""
-    row = F.struct(*[documents[c] for c in documents.columns])
-    keyed = documents.select(row.alias("row"), documents["doc_id"].cast("long").alias("id"), text_key(documents["text"]).alias("fp"))
-    root = near_duplicates(documents, least, shingle)
-    rows = documents.select(documents["doc_id"].cast("long").alias("id"), text_key(documents["text"]).alias("fp")).groupBy("id", "fp").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.join(root.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    found, root = near_duplicates(documents, least, shingle)
+    rows = found.groupBy("id", "fp").agg(F.count(F.lit(1)).alias("n")).join(root.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     kept = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "n")).alias("x")).select(F.col("x.id").alias("kid"), F.col("x.fp").alias("kfp"), F.col("x.n").alias("n"))
     kept, _ = stage(kept, "representatives")
+    packed = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("row"), documents["doc_id"].cast("long").alias("id"), text_bytes(documents).alias("text"))
+    schema = T.StructType([packed.schema["row"], packed.schema["id"], T.StructField("fp", T.LongType())])
+
+    def named(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array([text_key(t.as_py()) for t in batch.column("text")], pa.int64())], names=["row", "id", "fp"])
+
+    keyed = packed.mapInArrow(tidy(named), schema)
     same = F.col("id").eqNullSafe(F.col("kid")) & (F.col("fp") == F.col("kfp"))
     # As many rows are kept as there are components, so they are never broadcast, whatever the size.
     single = keyed.join(kept.where("n = 1").hint("merge"), same, "left_semi").select("row.*")
