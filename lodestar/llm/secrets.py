@@ -156,12 +156,13 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
         cat("password is ", mark(cat(word("a"), number("n", 999)))), cat("DB_PASSWORD=", mark(cat(F.substring(base, 1, 4), "#", F.substring(base, 7, 4), "$"))), mark(cat("-----BEGIN RSA PRIVATE KEY-----\n", some(64), "\n-----END RSA PRIVATE KEY-----")), mark("-----BEGIN PRIVATE KEY-----"),
         cat(word("p"), "://", word("u"), ":", mark(cat(F.substring(base, 1, 4), number("n", 99), F.substring(letters, 3, 5))), "@", word("h"), ".", word("g"), ".net/", word("b")), cat("redis://:", mark(F.substring(letters, 1, 12)), "@", word("h"), ":6379"),
         mark(cat(F.substring(letters, 1, 3), number("n", 9), "$", F.lower(F.substring(letters, 4, 2)), "!", number("m", 9), F.upper(F.substring(letters, 6, 2)), "#", F.substring(letters, 9, 3))), cat("export API_TOKEN=", mark(F.substring(base, 1, 24))),
+        cat("password=", mark(cat(F.lower(F.substring(letters, 1, 2)), word("a"), number("n", 9)))), cat("passwd=", mark(cat(F.lower(F.substring(letters, 1, 6)), number("n", 9)))), cat("password=", mark(cat(word("a"), word("b"), number("n", 99)))),
     ]
     plain = [
         cat("commit ", mark(hex_(40))), cat("sha256: ", mark(hex_(64))), cat("uuid ", mark(uuid)), mark(cat("/", word("a"), "/", word("b"), "/", word("c"), number("n", 999), ".", hex_(2))), mark(cat("https-", word("a"), ".", word("b"), number("n", 99), ".com/", word("c"), "/", number("m", 99999))),
         mark(cat(word("a"), "_", word("b"), "_", word("c"), "_", number("n", 9999))), mark(cat(word("a"), ".", number("n", 99), "@mail", number("m", 9), ".", word("b"), ".com")), cat("+1 (", number("n", 999), ") ", mark(cat("555-2486-", number("m", 99999)))),
         mark(cat("4", F.lpad(number("n", 999999999), 9, "3"), F.lpad(number("m", 999999), 6, "1"))), mark(cat(F.lpad(number("a", 255), 3, "1"), ".", F.lpad(number("b", 255), 3, "1"), ".", F.lpad(number("c", 255), 3, "1"), ".", number("d", 255))),
-        mark(cat(word("a"), "-", word("b"), "-", number("n", 99), ".", number("m", 99), ".", number("o", 99))), cat("password=", mark(cat(word("a"), word("b"), word("c"), number("n", 99)))), cat("md5 ", mark(hex_(32))), cat("password: ", mark(word("a"))), cat("token = ", mark(word("a"))), cat("auth: ", mark(pick_of("null", "true", "none", "required", "false", "disabled", "string", "incorrect", "expired"))), cat("password=", mark(cat("${", F.upper(word("a")), "_PASSWORD}"))), cat("password: \"", mark(pick_of("********", "your password", "<password>", "xxxxxxxx", "required", "example")), "\""),
+        mark(cat(word("a"), "-", word("b"), "-", number("n", 99), ".", number("m", 99), ".", number("o", 99))), cat("the ", word("u"), " header: ", mark(cat(word("a"), "-", word("b"), "-", number("n", 9999)))), cat("md5 ", mark(hex_(32))), cat("password: ", mark(word("a"))), cat("token = ", mark(word("a"))), cat("auth: ", mark(pick_of("null", "true", "none", "required", "false", "disabled", "string", "incorrect", "expired"))), cat("password=", mark(cat("${", F.upper(word("a")), "_PASSWORD}"))), cat("password: \"", mark(pick_of("********", "your password", "<password>", "xxxxxxxx", "required", "example")), "\""),
         cat("secret = ", mark(cat("os.environ[", word("a"), "]"))), cat("token: ", mark(F.substring(number("n", 9), 1, 1))), cat("token = ", mark(cat("get_", word("a"), "()"))), cat("the pass: ", mark(cat(word("a"), "ed"))),
         cat(word("p"), "://", word("u"), ":", mark(pick_of("password", "${PASS}", "<password>", "****", "8080", "pass")), "@", word("h"), ".com"), mark(cat(F.initcap(word("a")), "&", F.initcap(word("b")), number("n", 99), "!")), mark(cat(F.initcap(word("a")), "?", word("b"), number("m", 999), "&", word("c"))),
         mark(cat("20", number("a", 99), "-", number("b", 12), "-", number("c", 28), "T", number("d", 99), "Z", hex_(3))),
