@@ -34,8 +34,9 @@ from lodestar.llm.components import components
 
 SHINGLE, LEAST, RECALL = 5, 0.8, 0.995
 PRINT_BITS, RADIUS, LEAST_BITS = 512, 2, 36
-#: Standard deviations by which the long prints of a pair may differ beyond the mean.
-TOLERANCE = 4.0
+#: Standard deviations beyond the mean by which the long prints of a pair may differ where it should still meet with a
+#: probability of RECALL, and where it is still compared.
+MARGIN, TOLERANCE = 2.0, 4.0
 #: Texts that a task of one fingerprint gets about, and those whose variants it lays out at once.
 BUCKET_TEXTS, AT_ONCE = 400_000, 8000
 SEED = 42
@@ -47,9 +48,15 @@ def angle(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def differing(similarity: float, deviations: float) -> float:
+    """Share of its bits in which the long prints of such a pair differ if it is as many deviations beyond the mean."""
+    p = angle(similarity)
+    return p + deviations * math.sqrt(p * (1 - p) / PRINT_BITS)
+
+
 def plan(texts: int, least: float = LEAST, recall: float = RECALL) -> tuple[int, int]:
     """(bits of a fingerprint, number of fingerprints)."""
-    bits, p = max(LEAST_BITS, 16 + math.ceil(math.log2(max(texts, 1)))), angle(least)
+    bits, p = max(LEAST_BITS, 16 + math.ceil(math.log2(max(texts, 1)))), differing(least, MARGIN)
     meets = sum(math.comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(RADIUS + 1))
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - meets))
 
@@ -256,8 +263,7 @@ def _cross_pairs(groups, fp, root):
 
 def close_prints(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose long prints differ no more than those of texts of that similarity do."""
-    p = angle(least)
-    most = int(PRINT_BITS * (p + TOLERANCE * math.sqrt(p * (1 - p) / PRINT_BITS)))
+    most = int(PRINT_BITS * differing(least, TOLERANCE))
     x, y = (texts.select(F.col("fp").alias(n), F.col("print").alias(m)) for n, m in (("a", "x"), ("b", "y")))
     differ = F.aggregate(F.zip_with("x", "y", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, n: s + n)
     return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(differ <= most).select("a", "b")
