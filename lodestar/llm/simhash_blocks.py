@@ -7,8 +7,8 @@ shuffle is by fingerprint, and texts that share a variant are candidates; their
 of shingles are compared. ``plan`` takes so many fingerprints that a pair of similarity ``least`` shares a variant with
 a probability of RECALL, and so many bits that unlike texts seldom do, whatever the number of texts.
 
-A group of texts that share a variant is first a star about its busiest text (the one that meets most others overall,
-such as the template of a family of copies), so that a large group costs no square. Where texts of a group are not yet
+In each fingerprint a text is first paired with the busiest of those that it shares a variant with (the one that meets
+most others overall, such as the template of a family of copies), so that a large group costs no square. Where texts of a group are not yet
 in one component after that, all their pairs across components are compared: no link is lost to the stars.
 
 Defined results: words are lower-cased (ASCII) runs of anything but white space; with fewer words than a shingle has,
@@ -157,12 +157,17 @@ def busy(run: np.ndarray, member: np.ndarray, n: int) -> np.ndarray:
 
 
 def stars(run: np.ndarray, member: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Pairs of positions: every member of a run with the one of the highest rank."""
+    """Pairs of positions: each member with the one of the highest rank in any of its runs."""
     order = np.lexsort((rank[member], run))
     run, member = run[order], member[order]
     last = np.flatnonzero(np.concatenate([run[1:] != run[:-1], [True]]))
     centre = np.repeat(member[last], np.diff(np.concatenate([[-1], last])))
-    return np.unique(np.stack([member, centre], axis=1)[member != centre], axis=0)
+    other = member != centre
+    member, centre = member[other], centre[other]
+    order = np.lexsort((rank[centre], member))
+    member, centre = member[order], centre[order]
+    best = np.concatenate([member[1:] != member[:-1], [True]]) if len(member) else np.zeros(0, bool)
+    return np.stack([member[best], centre[best]], axis=1)
 
 
 def across(run: np.ndarray, member: np.ndarray, part: np.ndarray) -> Iterator[np.ndarray]:
@@ -243,9 +248,16 @@ def _named(fp: np.ndarray, pairs: np.ndarray):
 
 
 def _star_pairs(groups, fp, met):
+    """One pair at most for each text of a task, however many of its variants meet others."""
     rank = np.lexsort((fp, met)).argsort()
+    best = np.full(len(fp), -1)
     for run, member in groups:
-        yield _named(fp, stars(run, member, rank))
+        a, b = stars(run, member, rank).T
+        better = (best[a] < 0) | (rank[b] > rank[best[a]])
+        best[a[better]] = b[better]
+    own = np.flatnonzero(best >= 0)
+    if len(own):
+        yield _named(fp, np.stack([own, best[own]], axis=1))
 
 
 def _cross_pairs(groups, fp, root):
