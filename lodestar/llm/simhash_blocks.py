@@ -7,6 +7,10 @@ shuffle is by fingerprint, and texts that share a variant are candidates; their
 of shingles are compared. ``plan`` takes so many fingerprints that a pair of similarity ``least`` shares a variant with
 a probability of RECALL, and so many bits that unlike texts seldom do, whatever the number of texts.
 
+A fingerprint of more texts than a task should hold is dealt by a few bits of each of three parts of it: of two texts
+that differ in two bits one part agrees, so three copies of a row do, however many tasks there are. Fingerprints are dealt some at a time
+(``in_rounds``), so that the disk a round's shuffle takes grows with the texts and not with texts times fingerprints.
+
 In each fingerprint a text is first paired with the busiest of those that it shares a variant with (the one that meets
 most others overall, such as the template of a family of copies), so that a large group costs no square. Where texts of a group are not yet
 in one component after that, all their pairs across components are compared: no link is lost to the stars.
@@ -19,6 +23,7 @@ apart by a 64-bit hash.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import release, slices, stage, text_bytes, tidy
+from lodestar.llm.common import drop, release, slices, stage, text_bytes, tidy
 from lodestar.llm.components import components
 
 SHINGLE, LEAST, RECALL = 5, 0.8, 0.995
@@ -39,6 +44,8 @@ PRINT_BITS, RADIUS, LEAST_BITS = 512, 2, 36
 MARGIN, TOLERANCE = 2.0, 4.0
 #: Texts that a task of one fingerprint gets about, and those whose variants it lays out at once.
 BUCKET_TEXTS, AT_ONCE = 400_000, 8000
+#: Copies of each text that a round of fingerprints shuffles, ROW_BYTES each, or more while a round is below ROUND_BYTES.
+ROUND_COPIES, ROUND_BYTES, ROW_BYTES = 24, 256 << 20, 24
 SEED = 42
 _OFFSETS = np.random.default_rng(SEED).integers(1, 1 << 63, PRINT_BITS // 64, np.uint64)
 
@@ -61,6 +68,20 @@ def plan(texts: int, least: float = LEAST, recall: float = RECALL) -> tuple[int,
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - meets))
 
 
+def dealing(texts: int) -> tuple[int, int]:
+    """(bits that a fingerprint is dealt by, copies of a row that this takes)."""
+    route = 0
+    while texts > BUCKET_TEXTS << route:
+        route += 1
+    return route, RADIUS + 1 if route else 1
+
+
+def rounds(texts: int, number: int) -> list[range]:
+    """Fingerprints of each round."""
+    own = max(1, max(ROUND_COPIES, ROUND_BYTES // (ROW_BYTES * max(texts, 1))) // dealing(texts)[1])
+    return [range(lo, min(lo + own, number)) for lo in range(0, number, own)]
+
+
 def choices(bits: int, prints: int) -> np.ndarray:
     """(prints, bits) positions in the long print."""
     r = np.random.default_rng(SEED + 1)
@@ -130,30 +151,30 @@ def variant_groups(value: np.ndarray, left: np.ndarray, fixed: int, bits: int, a
     if len(value) < 2:
         return
     some = np.flatnonzero(left)
-    step = 8 if len(value) > at_once and fixed + 8 <= bits else 0
+    # As many bits as bring the parts below at_once, all at one go: splitting a part that is little above again makes tiny ones.
+    step = 0
+    while step < min(12, bits - fixed) and len(value) + step * len(some) > at_once << step:
+        step += 1
     flips = range(fixed, fixed + step) if step else range(fixed, bits)
     key = np.concatenate([value, *[value[some] ^ np.uint64(1 << i) for i in flips]])
     row = np.concatenate([np.arange(len(value)), np.tile(some, len(flips))])
     if step:
         budget = np.concatenate([left, np.zeros(len(key) - len(left), left.dtype)])
-        part = (key >> np.uint64(fixed)) & np.uint64(255)
+        part = ((key >> np.uint64(fixed)) & np.uint64((1 << step) - 1)).astype(np.uint16)  # sorted by radix
         order = np.argsort(part, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
             for run, member in variant_groups(key[own], budget[own], fixed + step, bits, at_once):
                 yield run, row[own][member]
         return
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    if shared.any():
+    # Settled bits are equal here; what is left of a key has room for the position, and plain sorting is much the fastest.
+    width = np.uint64(len(value).bit_length())
+    packed = ((key >> np.uint64(fixed)) << width) | row.astype(np.uint64)
+    packed.sort()
+    same = packed[1:] >> width == packed[:-1] >> width
+    if same.any():
+        shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         first = shared & ~np.concatenate([[False], same])
-        yield np.cumsum(first)[shared], row[order][shared]
-
-
-def busy(run: np.ndarray, member: np.ndarray, n: int) -> np.ndarray:
-    """For each of n texts, the others that it meets in all runs."""
-    size = np.bincount(run)[run] - 1
-    return np.bincount(member, size, n).astype(np.int64)
+        yield np.cumsum(first)[shared], (packed[shared] & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64)
 
 
 def stars(run: np.ndarray, member: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -184,36 +205,53 @@ def across(run: np.ndarray, member: np.ndarray, part: np.ndarray) -> Iterator[np
                 yield np.stack([np.full(len(others), own[i]), others], axis=1)
 
 
-def meetings(texts: DataFrame, size: int, least: float, what: Callable, schema: str, more: str | None = None) -> DataFrame:
-    """texts (fp, print, and a long column ``more``) dealt by fingerprint; what(runs, fp, more) yields arrays of columns
-    of ``schema`` for the texts of a task."""
+def turned(value: np.ndarray, by: int, bits: int) -> np.ndarray:
+    """Fingerprints whose bit ``by`` is the lowest one, those below it being the highest."""
+    return ((value >> np.uint64(by)) | (value << np.uint64(bits - by))) & np.uint64((1 << bits) - 1)
+
+
+def dealt(value: np.ndarray, bits: int, route: int, copies: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(bucket, positions, fingerprints turned for it): two that differ in fewer bits than there are copies share a
+    bucket, in which the lowest ``route`` bits are equal."""
+    for part in range(copies):
+        own = turned(value, part * bits // copies, bits)
+        bucket = (own & np.uint64((1 << route) - 1)).astype(np.uint32)
+        order = np.argsort(bucket, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            yield (part << route) + int(bucket[at[0]]), at, own[at]
+
+
+def meetings(texts: DataFrame, size: int, least: float, numbers: range, what: Callable, schema: str, more: str | None = None) -> DataFrame:
+    """texts (fp, print, and a long column ``more``) dealt by the fingerprints of those numbers; what(runs, fp, more)
+    yields arrays of columns of ``schema`` for the texts of a task."""
     bits, number = plan(size, least)
-    route = 0
-    while size * (1 + route) > BUCKET_TEXTS << route:
-        route += 1
-    chosen, names = choices(bits, number), [x.split()[0] for x in schema.split(", ")]
+    route, copies = dealing(size)
+    chosen, names = choices(bits, number)[numbers.start : numbers.stop], [x.split()[0] for x in schema.split(", ")]
     kinds = pa.schema([(n, pa.int64()) for n in names])
 
     def emit(batches):
-        weights = np.uint64(1) << np.arange(bits, dtype=np.uint64)
-        mask = np.uint64((1 << route) - 1)
+        held, n = [], 0
+
+        def rows():
+            words, fp, extra = (np.concatenate(c) for c in zip(*held))
+            by_bit = np.unpackbits(words.astype("<i8").view(np.uint8), axis=1, bitorder="little").T.copy()
+            out = []
+            for k, own in enumerate(chosen):
+                octets = np.packbits(by_bit[own], axis=0, bitorder="little").astype(np.uint64)
+                value = np.bitwise_or.reduce(octets << (np.arange(len(octets), dtype=np.uint64) * np.uint64(8))[:, None], axis=0)
+                out += [(((k * copies) << route) + bucket, v.tobytes(), fp[at].tobytes(), extra[at].tobytes()) for bucket, at, v in dealt(value, bits, route, copies)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "value", "fp", "more"])
+
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
-                words = part.column("print").flatten().to_numpy().reshape(part.num_rows, -1)
-                all_bits = np.unpackbits(words.astype("<i8").view(np.uint8), axis=1, bitorder="little").astype(np.uint64)
-                fp, extra = part.column("fp").to_numpy(), part.column("more").to_numpy()
-                rows = []
-                for k, own in enumerate(chosen):
-                    value = all_bits[:, own] @ weights
-                    low = value & mask
-                    bucket = np.concatenate([low, *[low ^ np.uint64(1 << i) for i in range(route)]])
-                    at = np.tile(np.arange(len(fp)), 1 + route)
-                    order = np.argsort(bucket, kind="stable")
-                    for piece in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                        i = at[piece]
-                        rows.append(((k << route) + int(bucket[piece[0]]), value[i].tobytes(), fp[i].tobytes(), extra[i].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "value", "fp", "more"])
+                held.append((part.column("print").flatten().to_numpy().reshape(part.num_rows, -1), part.column("fp").to_numpy(), part.column("more").to_numpy()))
+                n += part.num_rows
+                if n >= 4096:
+                    yield rows()
+                    held, n = [], 0
+        if n:
+            yield rows()
 
     def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = [b.select(["value", "fp", "more"]).to_pydict() for b in batches]
@@ -221,22 +259,28 @@ def meetings(texts: DataFrame, size: int, least: float, what: Callable, schema:
         del packed
         order = np.argsort(fp)
         value, fp, extra = value[order], fp[order], extra[order]
-        low = np.uint64((1 << route) - 1)
-        flip = (value & low) ^ (np.uint64(key[0].as_py()) & low)
-        left = 1 - np.bitwise_count(flip).astype(np.int64)
-        for columns in what(variant_groups(value ^ flip, left, route, bits), fp, extra):
+        for columns in what(variant_groups(value, np.ones(len(value), np.int64), route, bits), fp, extra):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=kinds)
         release()
 
     rows = texts.select("fp", "print", (F.col(more) if more else F.lit(0)).cast("long").alias("more"))
     packed = rows.mapInArrow(tidy(emit), "bucket int, value binary, fp binary, more binary")
-    return packed.repartition(min(number << route, 4096), "bucket").groupBy("bucket").applyInArrow(meet, schema)
+    return packed.repartition(min((len(numbers) * copies) << route, 4096), "bucket").groupBy("bucket").applyInArrow(meet, schema)
+
+
+def in_rounds(texts: DataFrame, size: int, least: float, name: str, combined: Callable[[DataFrame], DataFrame], what: Callable, schema: str, more: str | None = None) -> DataFrame:
+    """combined, a function of tables, of all meetings, staged. It is applied to each round, whose shuffle is gone
+    before the next one's, and then to all that the rounds left."""
+    parts = [stage(combined(meetings(texts, size, least, own, what, schema, more)), f"{name}-round", alone=True) for own in rounds(size, plan(size, least)[1])]
+    found = stage(combined(functools.reduce(DataFrame.union, [p for p, _ in parts])), name, alone=True)[0]
+    drop(texts.sparkSession, *[path for _, path in parts])
+    return found
 
 
 def _count(groups, fp, _):
     total = np.zeros(len(fp), np.int64)
     for run, member in groups:
-        total += busy(run, member, len(fp))
+        np.add.at(total, member, np.bincount(run)[run] - 1)
     met = np.flatnonzero(total)
     if len(met):
         yield fp[met], total[met]
@@ -316,14 +360,15 @@ def near_duplicates(documents: DataFrame, least: float = LEAST, shingle: int = S
     rows = prints(documents, shingle)
     texts, _ = stage(rows.where("fp <> 0").groupBy("fp").agg(F.first("print").alias("print")), "distinct-prints")
     size, rows = texts.count(), rows.select("id", "fp")
-    met, _ = stage(meetings(texts, size, least, _count, "fp long, met long").groupBy("fp").agg(F.sum("met").alias("met")), "met")
+    met = in_rounds(texts, size, least, "met", lambda t: t.groupBy("fp").agg(F.sum("met").alias("met")), _count, "fp long, met long")
     texts, _ = stage(texts.join(met.hint("merge"), "fp"), "long-prints-met")
-    first, _ = stage(close_prints(meetings(texts, size, least, _star_pairs, "a long, b long", "met").distinct(), texts, least), "star-pairs")
+    first = in_rounds(texts, size, least, "stars", DataFrame.distinct, _star_pairs, "a long, b long", "met")
+    first, _ = stage(close_prints(first, texts, least), "star-pairs")
     links = similar(documents, first, least, shingle)
     root = components(links).withColumnRenamed("node", "fp")
     parts, _ = stage(texts.join(root.hint("merge"), "fp", "left").select("fp", "print", F.coalesce("root", "fp").alias("root")), "parts")
-    rest = meetings(parts, size, least, _cross_pairs, "a long, b long", "root").distinct().join(first.hint("merge"), ["a", "b"], "left_anti")
-    rest, _ = stage(close_prints(rest, texts, least), "cross-pairs")
+    rest = in_rounds(parts, size, least, "cross", DataFrame.distinct, _cross_pairs, "a long, b long", "root")
+    rest, _ = stage(close_prints(rest.join(first.hint("merge"), ["a", "b"], "left_anti"), texts, least), "cross-pairs")
     if rest.take(1):
         root = components(links.union(similar(documents, rest, least, shingle))).withColumnRenamed("node", "fp")
     return rows, root

@@ -423,6 +423,37 @@ def test_variant_groups_hold_all_pairs_within_two_bits():
         assert got == want == linked
 
 
+def test_dealt_fingerprints_meet_as_undealt_ones():
+    r = np.random.default_rng(4)
+    flip = lambda n: np.uint64(1) << r.integers(0, 38, n).astype(np.uint64)
+    value = np.unique(r.integers(0, 1 << 38, 60, dtype=np.uint64)[r.integers(0, 60, 500)] ^ flip(500) ^ flip(500))
+    want = {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(np.bitwise_count(value[:, None] ^ value[None]) <= 2))) if i < j}
+    for route, copies in ((0, 1), (3, 3), (12, 3)):
+        got, rows = set(), 0
+        for _, at, own in simhash_blocks.dealt(value, 38, route, copies):
+            rows += len(at)
+            for run, member in simhash_blocks.variant_groups(own, np.ones(len(own), np.int64), route, 38, 20):
+                for group in np.split(at[member], np.flatnonzero(np.diff(run)) + 1):
+                    got |= {(a, b) for a in group.tolist() for b in group.tolist() if a < b}
+        assert got == want and rows == copies * len(value)
+
+
+def test_a_round_s_shuffle_grows_with_the_texts_only(spark, monkeypatch):
+    for texts in (0, 1000, 220_000, 2_600_000, 13_000_000, 10**9):
+        number = simhash_blocks.plan(texts)[1]
+        found, copies = simhash_blocks.rounds(texts, number), simhash_blocks.dealing(texts)[1]
+        assert [k for own in found for k in own] == list(range(number)) and copies <= 3
+        assert all(len(own) * copies * texts * simhash_blocks.ROW_BYTES <= max(simhash_blocks.ROUND_BYTES, 600 * texts) for own in found)
+    r = random.Random(3)
+    base = [f"w{r.randrange(10**5)}" for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate([" ".join(base)] + family(r, base, 20, 3) + [f"other {k} words" for k in range(20)])), "doc_id long, text string")
+    want = sorted(r["doc_id"] for r in simhash_blocks.representatives(docs).collect())
+    monkeypatch.setattr(simhash_blocks, "ROUND_BYTES", 150_000)
+    monkeypatch.setattr(simhash_blocks, "BUCKET_TEXTS", 15)  # two bits, so three copies
+    assert len(simhash_blocks.rounds(41, 187)) > 3 and simhash_blocks.dealing(41) == (2, 3) and want[0] == 0 and want[1:] == list(range(21, 41))
+    assert sorted(r["doc_id"] for r in simhash_blocks.representatives(docs).collect()) == want
+
+
 def test_plan_of_fingerprints():
     bits, number = simhash_blocks.plan(1000)
     p = simhash_blocks.angle(0.8)
