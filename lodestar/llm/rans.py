@@ -187,7 +187,7 @@ def _tokenize(vocabulary: str, end_id: int, block_tokens: int):
                     yield pa.RecordBatch.from_pylist(rows, schema=_arrow(_BLOCK))
         if filled:
             yield pa.RecordBatch.from_pylist([flush()], schema=_arrow(_BLOCK))
-        encoder.release()
+        # The encoder's bounded tables stay for the worker's next shard, which would fill them anew.
 
     return run
 
@@ -360,12 +360,14 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
 
     def join(batches):
         for batch in batches:
-            crcs = []
-            for parts in batch.column("parts").to_pylist():
-                crc = parts[0]["crc"]
-                for p in parts[1:]:
-                    crc = crc32_join(crc, p["crc"], 4 * p["length"])
-                crcs.append(crc)
+            parts = batch.column("parts")
+            _, length, crc = (c.to_numpy() for c in parts.flatten().flatten())
+            ends = np.cumsum(parts.value_lengths().to_numpy())
+            first = np.concatenate([[0], ends[:-1]])[: len(ends)]
+            crcs = crc[first]
+            for i in np.flatnonzero(ends - first > 1).tolist():  # the few documents that go over a block's end
+                for j in range(first[i] + 1, ends[i]):
+                    crcs[i] = crc32_join(int(crcs[i]), int(crc[j]), 4 * int(length[j]))
             keep = [batch.column(c) for c in ("doc_id", "shard", "doc_start", "n_tokens")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(crcs, pa.int64())], names=["doc_id", "shard", "doc_start", "n_tokens", "ids_crc32"])
 

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -109,6 +110,16 @@ def test_token_files(spark, docs, none, library):
     assert rans.document_digests(spark, empty).count() == 0
 
 
+def test_tables_of_pieces_outlast_a_shard(monkeypatch):
+    calls, plain = [], tokens.PieceEncoder.model_ids
+    monkeypatch.setattr(tokens, "_ENCODERS", {})
+    monkeypatch.setattr(tokens.PieceEncoder, "model_ids", lambda self, unit: calls.append(unit) or plain(self, unit))
+    monkeypatch.setattr(rans, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("One", (), {"partitionId": lambda self: 0})())}))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words of a text", "some other words"]})
+    found = [[b.to_pylist() for b in rans._tokenize(tokens.default_path(), 1, 1024)([batch])] for _ in range(2)]
+    assert found[0] == found[1] and calls and len(calls) == len(set(calls))
+
+
 def test_token_files_of_many_equal_rows(spark, library):
     rows = [(5, "same text of all") for _ in range(400)] + [(None, "other")] * 30 + [(9, "last")]
     path = rans.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), new_path(spark, "files"), shard_bytes=500, block_tokens=64, lanes=4, step_tokens=8)
