@@ -12,8 +12,17 @@ that differ in two bits one part agrees, so three copies of a row do, however ma
 (``in_rounds``), so that the disk a round's shuffle takes grows with the texts and not with texts times fingerprints.
 
 In each fingerprint a text is first paired with the busiest of those that it shares a variant with (the one that meets
-most others overall, such as the template of a family of copies), so that a large group costs no square. Where texts of a group are not yet
-in one component after that, all their pairs across components are compared: no link is lost to the stars.
+most others overall, such as the template of a family of copies), so that a large group costs no square. Pairs whose long prints
+are at all alike (LOOSE) make families. Where texts of a family are not yet in one component after that, ``families``
+finds all their links exactly, without a table of their pairs; where texts meet across families, all those pairs are
+compared. So no link is lost to the stars.
+
+In a family each set of shingles is told by its difference D from the pivot's set T. Of two sets X and Y the symmetric
+difference is that of their D; they are similar if it has at most l = (1 - least) / (1 + least) * (|X| + |Y|) shingles, so
+if their D share at least t = (|D(X)| + |D(Y)| - l) / 2. With t <= 0 both are similar to T, which each is compared
+with. Else the first shared shingle, in any one order, has |D(X)| - t others at most before it in D(X), and likewise in
+D(Y). The order is by how many of the D in a sample of the family have a shingle, rare ones first, so unlike
+copies of one template, whose changes differ, seldom meet. The sample only sets the order: no result depends on it.
 
 Defined results: words are lower-cased (ASCII) runs of anything but white space; with fewer words than a shingle has,
 the whole sequence is the one shingle; null texts and texts without words are copies of each other; null doc_ids are
@@ -24,6 +33,7 @@ apart by a 64-bit hash.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -34,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.functions.joins import join_keys
 from lodestar.llm.common import drop, release, slices, stage, text_bytes, tidy
 from lodestar.llm.components import components
 
@@ -42,6 +53,12 @@ PRINT_BITS, RADIUS, LEAST_BITS = 512, 2, 36
 #: Standard deviations beyond the mean by which the long prints of a pair may differ where it should still meet with a
 #: probability of RECALL, and where it is still compared.
 MARGIN, TOLERANCE = 2.0, 4.0
+#: Similarity at which long prints differ, on the average, as much as those of texts of one family may: far from the half in
+#: which unlike texts differ.
+LOOSE = 0.25
+#: Texts of a family that set the order of its shingles, about; bytes of shingles that a task compares, about; texts that
+#: share a shingle and are compared each with each without a look at what they might reach.
+SAMPLE, FAMILY_BYTES, SMALL = 64, 16 << 20, 32
 #: Texts that a task of one fingerprint gets about, and those whose variants it lays out at once.
 BUCKET_TEXTS, AT_ONCE = 400_000, 8000
 #: Copies of each text that a round of fingerprints shuffles, ROW_BYTES each, or more while a round is below ROUND_BYTES.
@@ -272,6 +289,8 @@ def in_rounds(texts: DataFrame, size: int, least: float, name: str, combined: Ca
     """combined, a function of tables, of all meetings, staged. It is applied to each round, whose shuffle is gone
     before the next one's, and then to all that the rounds left."""
     parts = [stage(combined(meetings(texts, size, least, own, what, schema, more)), f"{name}-round", alone=True) for own in rounds(size, plan(size, least)[1])]
+    if len(parts) == 1:
+        return parts[0][0]
     found = stage(combined(functools.reduce(DataFrame.union, [p for p, _ in parts])), name, alone=True)[0]
     drop(texts.sparkSession, *[path for _, path in parts])
     return found
@@ -317,12 +336,28 @@ def _cross_pairs(groups, fp, root):
             yield _named(fp, np.unique(np.concatenate(held), axis=0))
 
 
-def close_prints(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose long prints differ no more than those of texts of that similarity do."""
-    most = int(PRINT_BITS * differing(least, TOLERANCE))
+def close_prints(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
+    """The pairs (a, b) whose long prints differ in at most that share of their bits, and in how many (differ)."""
     x, y = (texts.select(F.col("fp").alias(n), F.col("print").alias(m)) for n, m in (("a", "x"), ("b", "y")))
     differ = F.aggregate(F.zip_with("x", "y", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, n: s + n)
-    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(differ <= most).select("a", "b")
+    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", differ.alias("differ")).where(F.col("differ") <= int(PRINT_BITS * share))
+
+
+def paired_texts(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs, staged ones, with all their columns and the texts x of a and y of b, in runs of one a."""
+
+    def named(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([text_key(t.as_py()) for t in batch.column("text")], pa.int64()), batch.column("text")], names=["fp", "text"])
+
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = documents.select(text_bytes(documents).alias("text")).mapInArrow(tidy(named), "fp long, text binary")
+    # Exact copies, however many, are one text here, combined before the shuffle.
+    distinct = texts.groupBy("fp").agg(F.first("text").alias("text"))
+    needed, _ = stage(distinct.join(nodes.hint("merge"), F.col("fp") == F.col("node"), "left_semi"), "pair-texts")
+    x = needed.select(F.col("fp").alias("a"), F.col("text").alias("x"))
+    y = needed.select(F.col("fp").alias("b"), F.col("text").alias("y"))
+    return pairs.join(y.hint("merge"), "b").join(x.hint("merge"), "a")
 
 
 def similar(documents: DataFrame, pairs: DataFrame, least: float = LEAST, shingle: int = SHINGLE) -> DataFrame:
@@ -340,18 +375,161 @@ def similar(documents: DataFrame, pairs: DataFrame, least: float = LEAST, shingl
                     keep.append(jaccard(mine, shingles(y, shingle)) >= least)
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def named(batches):
+    return stage(paired_texts(documents, pairs).select("a", "b", "x", "y").mapInArrow(tidy(compared), "a long, b long"), "similar")[0]
+
+
+def changes(documents: DataFrame, members: DataFrame, least: float, shingle: int) -> DataFrame:
+    """members (a, the pivot of a family; b, another text of it; root), staged, with the size of b's set, its difference
+    from a's (packed 64-bit shingles) and whether the two are similar; staged."""
+
+    def run(batches):
+        last, mine = None, None
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([text_key(t.as_py()) for t in batch.column("text")], pa.int64()), batch.column("text")], names=["fp", "text"])
+            for lo in range(0, batch.num_rows, 64):
+                part, out = batch.slice(lo, 64), []
+                for a, x, y in zip(part.column("a").to_pylist(), part.column("x").to_pylist(), part.column("y").to_pylist()):
+                    if a != last:
+                        last, mine = a, shingles(x, shingle)
+                    own = shingles(y, shingle)
+                    out.append((len(own), np.setxor1d(mine, own, assume_unique=True).tobytes(), jaccard(mine, own) >= least))
+                more = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in ("a", "b", "root")), *more], names=["a", "b", "root", "size", "change", "linked"])
+
+    rows = paired_texts(documents, members).select("a", "b", "root", "x", "y")
+    return stage(rows.mapInArrow(tidy(run), "a long, b long, root long, size long, change binary, linked boolean"), "changes")[0]
+
+
+def usual(sample: DataFrame) -> DataFrame:
+    """(a, packed shingles, packed counts) of those that two or more of a family's sampled differences have."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, n = np.unique(np.frombuffer(b"".join(c for b in batches for c in b.column("change").to_pylist()), np.uint64), return_counts=True)
+        have, n = have[n > 1], n[n > 1].astype("<i4")
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([have.tobytes()]), pa.array([n.tobytes()])], names=["a", "have", "n"])
+
+    return sample.select("a", "change").groupBy("a").applyInArrow(run, "a long, have binary, n binary")
+
+
+def rare_first(change: np.ndarray, have: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The shingles by their counts n (have, ascending, are those with one), then by value."""
+    count = np.zeros(len(change), np.int64)
+    if len(have):
+        at = np.minimum(np.searchsorted(have, change), len(have) - 1)
+        count = np.where(have[at] == change, n[at], 0)
+    return change[np.lexsort((change, count))]
+
+
+def reach(size: int, least: float) -> int:
+    """Shingles by which a set of that size and a similar one differ at most."""
+    return int((1 - least) / least * size + 1e-9)
+
+
+#: Of a shingle of a text's difference: which (and of which family), the text, its component, the size of its set and of the difference, the place.
+ENTRY = np.dtype([("key", "<u8"), ("fp", "<i8"), ("root", "<i8"), ("size", "<i4"), ("change", "<i4"), ("place", "<i4")])
+
+
+def sharing(entries: np.ndarray, least: float) -> Iterator[np.ndarray]:
+    """Pairs of positions, of different components, that may be similar by a shingle that both have; entries are in order
+    of their keys."""
+    key, root = entries["key"], entries["root"]
+    size, change, place = (entries[n].astype(np.int64) for n in ("size", "change", "place"))
+    part = (1 - least) / (1 + least)
+
+    def pairs(i, j):
+        most = np.floor(part * (size[i] + size[j]) + 1e-9).astype(np.int64)
+        shared = (change[i] + change[j] - most + 1) // 2
+        good = (root[i] != root[j]) & (shared > 0) & (place[i] <= change[i] - shared) & (place[j] <= change[j] - shared)
+        return np.stack([i[good], j[good]], axis=1)
+
+    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
+    length = np.diff(edges)
+    small = np.repeat(length <= SMALL, length)
+    for step in range(1, SMALL):
+        first = np.flatnonzero(small[: len(key) - step] & (key[step:] == key[: len(key) - step]))
+        if not len(first):
+            break
+        yield pairs(first, first + step)
+    for lo in np.flatnonzero(length > SMALL).tolist():
+        own = np.arange(edges[lo], edges[lo + 1])
+        # A text's place lets it reach others with differences of at most ``limit``, and only those whose limit reaches it.
+        limit = np.floor((1 - least) / least * size[own] + 1e-9).astype(np.int64) + change[own] - 2 * place[own]
+        while len(own):
+            keep = (change[own] <= limit.max()) & (limit >= change[own].min())
+            if keep.all():
+                break
+            own, limit = own[keep], limit[keep]
+        names, which, n = np.unique(root[own], return_inverse=True, return_counts=True)
+        if len(names) < 2:
+            continue
+        # Each text but those of the largest component, with the others in order of their differences up to its limit.
+        order = np.argsort(change[own], kind="stable")
+        own, limit, which = own[order], limit[order], which[order]
+        upto = np.searchsorted(change[own], limit, side="right")
+        for i in np.flatnonzero(which != n.argmax()).tolist():
+            others = own[: upto[i]][limit[: upto[i]] >= change[own[i]]]
+            yield pairs(np.full(len(others), own[i]), others)
+
+
+def in_families(parts: DataFrame, alike: DataFrame) -> DataFrame:
+    """(root, family, n: texts) of each component: of those that pairs (a, b) of ``alike`` join it with, the one with the
+    busiest text, then that one's, four times over. Families are any sets of whole components; these only save work."""
+    groups, _ = stage(parts.groupBy("root").agg(F.max(F.struct("met", "fp")).alias("top"), F.count(F.lit(1)).alias("n")), "groups")
+    x, y = (parts.select(F.col("fp").alias(f"of_{n}"), F.col("root").alias(f"root_{n}")) for n in "ab")
+    met = alike.join(x.hint("merge"), F.col("a") == F.col("of_a")).join(y.hint("merge"), F.col("b") == F.col("of_b")).where("root_a <> root_b").select("root_a", "root_b").distinct()
+    both = met.union(met.select("root_b", "root_a")).toDF("root", "other")
+    best = both.join(groups.select(F.col("root").alias("other"), F.col("top").alias("best")).hint("merge"), "other").groupBy("root").agg(F.max_by("other", "best").alias("other"), F.max("best").alias("best"))
+    found = groups.join(best.hint("merge"), "root", "left").select("root", F.when(F.col("best") > F.col("top"), F.col("other")).otherwise(F.col("root")).alias("family"), "n")
+    for _ in range(2):
+        found, _ = stage(found, "family-hops")
+        on = found.where("root <> family").select(F.col("root").alias("at"), F.col("family").alias("next"))
+        found = found.join(on.hint("merge"), F.col("family") == F.col("at"), "left").select("root", F.coalesce("next", "family").alias("family"), "n")
+    return found
 
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = documents.select(text_bytes(documents).alias("text")).mapInArrow(tidy(named), "fp long, text binary")
-    # Exact copies, however many, are one text here, combined before the shuffle.
-    distinct = texts.groupBy("fp").agg(F.first("text").alias("text"))
-    needed, _ = stage(distinct.join(nodes.hint("merge"), F.col("fp") == F.col("node"), "left_semi"), "pair-texts")
-    x = needed.select(F.col("fp").alias("a"), F.col("text").alias("x"))
-    y = needed.select(F.col("fp").alias("b"), F.col("text").alias("y"))
-    return stage(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(tidy(compared), "a long, b long"), "similar")[0]
+
+def families(documents: DataFrame, members: DataFrame, least: float, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Of members (a, the pivot of a family; b, another text of it; root; texts, how many the family has), staged: links (a, b) to
+    pivots, and pairs (a, b) of different components to compare, among them all similar ones that no links to the pivot join."""
+    found = changes(documents, members.select("a", "b", "root"), least, shingle)
+    sample = found.join(members.where(F.pmod(F.xxhash64("b"), F.ceil(F.col("texts") / SAMPLE)) == 0).select("b").hint("merge"), "b", "left_semi")
+    order = stage(usual(sample), "usual")[0]
+    total = found.agg(F.sum(F.octet_length("change"))).first()[0] or 0
+    buckets = max(1, -(-total // 8 * ENTRY.itemsize // FAMILY_BYTES))
+
+    def emit(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                held = []
+                for r in batch.slice(lo, 256).to_pylist():
+                    change = np.frombuffer(r["change"], np.uint64)
+                    own = rare_first(change, np.frombuffer(r["have"] or b"", np.uint64), np.frombuffer(r["n"] or b"", "<i4"))[: reach(r["size"], least) + 1]
+                    entry = np.zeros(len(own), ENTRY)
+                    entry["key"] = _mixed(own ^ _mixed(np.array([r["a"]], np.int64).view(np.uint64)))
+                    entry["fp"], entry["root"], entry["size"], entry["change"], entry["place"] = r["b"], r["root"], r["size"], len(change), np.arange(len(own))
+                    held.append(entry)
+                entry = np.concatenate(held)
+                bucket = entry["key"] % np.uint64(buckets)
+                by = np.argsort(bucket, kind="stable")
+                parts = [p for p in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(p)]
+                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([entry[p].tobytes() for p in parts], pa.binary())], names=["bucket", "entries"])
+
+    def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = np.frombuffer(b"".join(e for b in batches for e in b.column("entries").to_pylist()), ENTRY)
+        entries = entries[np.argsort(entries["key"], kind="stable")]
+        held, n = [], 0
+        for pairs in itertools.chain(sharing(entries, least), [None]):
+            if pairs is not None:
+                held.append(pairs)
+                n += len(pairs)
+            if n >= 100_000 or pairs is None and n:
+                a, b = np.unique(np.stack(_named(entries["fp"], np.concatenate(held)), axis=1), axis=0).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                held, n = [], 0
+        release()
+
+    rows = found.join(order.hint("merge"), "a", "left").select("a", "b", "root", "size", "change", "have", "n")
+    dealt = rows.mapInArrow(tidy(emit), "bucket int, entries binary").repartition(min(buckets, 4096), "bucket")
+    pairs = stage(dealt.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct(), "family-pairs")[0]
+    return found.where("linked").select("a", "b"), pairs
 
 
 def near_duplicates(documents: DataFrame, least: float = LEAST, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
@@ -363,14 +541,32 @@ def near_duplicates(documents: DataFrame, least: float = LEAST, shingle: int = S
     met = in_rounds(texts, size, least, "met", lambda t: t.groupBy("fp").agg(F.sum("met").alias("met")), _count, "fp long, met long")
     texts, _ = stage(texts.join(met.hint("merge"), "fp"), "long-prints-met")
     first = in_rounds(texts, size, least, "stars", DataFrame.distinct, _star_pairs, "a long, b long", "met")
-    first, _ = stage(close_prints(first, texts, least), "star-pairs")
-    links = similar(documents, first, least, shingle)
-    root = components(links).withColumnRenamed("node", "fp")
-    parts, _ = stage(texts.join(root.hint("merge"), "fp", "left").select("fp", "print", F.coalesce("root", "fp").alias("root")), "parts")
-    rest = in_rounds(parts, size, least, "cross", DataFrame.distinct, _cross_pairs, "a long, b long", "root")
-    rest, _ = stage(close_prints(rest.join(first.hint("merge"), ["a", "b"], "left_anti"), texts, least), "cross-pairs")
+    alike, _ = stage(close_prints(first, texts, angle(LOOSE)), "star-pairs")
+    close = differing(least, TOLERANCE)
+    links = similar(documents, alike.where(F.col("differ") <= int(PRINT_BITS * close)).select("a", "b"), least, shingle)
+    root = components(links).select(F.col("node").alias("fp"), "root")
+    parts, _ = stage(texts.join(root.hint("merge"), "fp", "left").select("fp", "print", "met", F.coalesce("root", "fp").alias("root")), "parts")
+    groups, _ = stage(in_families(parts, alike), "families")
+    parts, _ = stage(join_keys(parts, groups, "root", size), "parts")
+    several = parts.groupBy("family").agg(F.max_by("fp", F.struct("met", "fp")).alias("a"), F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    several, _ = stage(several.select("family", "a", "n"), "pivots")
+    members, _ = stage(join_keys(parts, several.withColumn("texts", F.col("n")), "family", size).where("fp <> a").select("a", F.col("fp").alias("b"), "root", "texts"), "members")
+    rest = in_rounds(parts, size, least, "cross", DataFrame.distinct, _cross_pairs, "a long, b long", "family")
+    rest, _ = stage(close_prints(rest.join(first.hint("merge"), ["a", "b"], "left_anti"), texts, close).select("a", "b"), "cross-pairs")
+    links = rest.limit(0)
+    if members.take(1):
+        links, pairs = families(documents, members, least, shingle)
+        rest = rest.union(pairs)
     if rest.take(1):
-        root = components(links.union(similar(documents, rest, least, shingle))).withColumnRenamed("node", "fp")
+        links = links.union(similar(documents, rest, least, shingle))
+    # Links within a component tell nothing new, and mostly there are no others.
+    own = parts.where("fp <> root").select("fp", "root")
+    x, y = (own.select(F.col("fp").alias(n), F.col("root").alias(m)) for n, m in (("a", "x"), ("b", "y")))
+    new = links.join(x.hint("merge"), "a", "left").join(y.hint("merge"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    new, _ = stage(new.where("a <> b").distinct(), "new-links")
+    if new.take(1):
+        merged = components(new).select(F.col("node").alias("old"), F.col("root").alias("least"))
+        root = stage(parts.select("fp", "root").join(merged.hint("merge"), F.col("root") == F.col("old"), "left").select("fp", F.coalesce("least", "root").alias("root")).where("fp <> root"), "roots")[0]
     return rows, root
 
 

@@ -419,6 +419,52 @@ def test_families_of_near_copies(spark):
     assert want <= got and len(got - want) <= 1  # a link may be missed with a probability of 0.005
 
 
+def test_a_family_of_unlike_copies_needs_no_table_of_its_pairs(spark, monkeypatch):
+    """Copies of a template that are just too unlike it, some of them alike by changes that they share."""
+    r = random.Random(21)
+    base = [f"w{r.randrange(10**5)}" for _ in range(260)]
+    texts = [" ".join(base)] + family(r, base, 30, 4) + family(r, base, 150, 7)
+    for copy in family(r, base, 15, 9):
+        texts += [copy, *family(r, copy.split(), 1, 3)]
+    seen, compared = [], simhash_blocks.similar
+    monkeypatch.setattr(simhash_blocks, "similar", lambda documents, pairs, *more: (seen.append(pairs.count()), compared(documents, pairs, *more))[1])
+    rows, root = simhash_blocks.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    of = {x["fp"]: x["root"] for x in root.collect()}
+    got = {}
+    for x in rows.collect():
+        got.setdefault(of.get(x["fp"], x["fp"]), set()).add(x["id"])
+    want = {}
+    for i, c in enumerate(plain_components(texts)):
+        want.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and 150 < len(want) < 180
+    assert len(seen) < 2 or seen[1] < 5 * len(texts)
+
+
+def test_sharing_finds_every_link_within_a_family(monkeypatch):
+    for small in (2, 32):
+        monkeypatch.setattr(simhash_blocks, "SMALL", small)
+        r, pairs = np.random.default_rng(small), 0
+        for _ in range(40):
+            pivot = np.arange(int(r.integers(10, 60)), dtype=np.uint64)
+            sets = [np.setxor1d(pivot, r.choice(90, int(r.integers(0, len(pivot) // 2)), replace=False).astype(np.uint64)) for _ in range(60)]
+            sets = [s for s in sets if len(s)]
+            held, have = [], np.arange(0, 90, 3, dtype=np.uint64)
+            for i, s in enumerate(sets):
+                change = np.setxor1d(pivot, s)
+                own = simhash_blocks.rare_first(change, have, np.arange(30) % 7)[: simhash_blocks.reach(len(s), 0.8) + 1]
+                entry = np.zeros(len(own), simhash_blocks.ENTRY)
+                entry["key"], entry["fp"], entry["root"], entry["size"], entry["change"], entry["place"] = own, i, i // 2, len(s), len(change), np.arange(len(own))
+                held.append(entry)
+            entries = np.concatenate(held)
+            entries = entries[np.argsort(entries["key"], kind="stable")]
+            got = {(min(a, b), max(a, b)) for p in simhash_blocks.sharing(entries, 0.8) for a, b in entries["fp"][p].tolist()}
+            for i, j in ((i, j) for j in range(len(sets)) for i in range(j) if i // 2 != j // 2):
+                if simhash_blocks.jaccard(sets[i], sets[j]) >= 0.8:
+                    pairs += (i, j) in got
+                    assert (i, j) in got or min(simhash_blocks.jaccard(sets[k], pivot) for k in (i, j)) >= 0.8
+        assert pairs > 20
+
+
 def test_variant_groups_hold_all_pairs_within_two_bits():
     r = np.random.default_rng(2)
     value = np.unique(r.integers(0, 1 << 36, 60, dtype=np.uint64)[r.integers(0, 60, 500)] ^ (np.uint64(1) << r.integers(0, 36, 500).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 36, 500).astype(np.uint64)))
