@@ -59,6 +59,8 @@ LOOSE = 0.25
 #: Texts of a family that set the order of its shingles, about; bytes of shingles that a task compares, about; texts that
 #: share a shingle and are compared each with each without a look at what they might reach.
 SAMPLE, FAMILY_BYTES, SMALL = 64, 16 << 20, 32
+#: Pairs of each text that make families, over all fingerprints.
+STARS = 8
 #: Texts that a task of one fingerprint gets about, and those whose variants it lays out at once.
 BUCKET_TEXTS, AT_ONCE = 400_000, 8000
 #: Copies of each text that a round of fingerprints shuffles, ROW_BYTES each, or more while a round is below ROUND_BYTES.
@@ -320,7 +322,14 @@ def _star_pairs(groups, fp, met):
         best[a[better]] = b[better]
     own = np.flatnonzero(best >= 0)
     if len(own):
-        yield _named(fp, np.stack([own, best[own]], axis=1))
+        yield fp[own], fp[best[own]], met[best[own]]
+
+
+def busiest(pairs: DataFrame) -> DataFrame:
+    """Of each text's pairs (fp, other, met) the STARS with the busiest others. This only makes families: where the other
+    pairs are links, ``families`` or the pass across families finds them."""
+    best = F.slice(F.sort_array(F.collect_set(F.struct("met", "other")), asc=False), 1, STARS)
+    return pairs.groupBy("fp").agg(best.alias("best")).select("fp", F.explode("best").alias("x")).select("fp", "x.other", "x.met")
 
 
 def _cross_pairs(groups, fp, root):
@@ -540,7 +549,8 @@ def near_duplicates(documents: DataFrame, least: float = LEAST, shingle: int = S
     size, rows = texts.count(), rows.select("id", "fp")
     met = in_rounds(texts, size, least, "met", lambda t: t.groupBy("fp").agg(F.sum("met").alias("met")), _count, "fp long, met long")
     texts, _ = stage(texts.join(met.hint("merge"), "fp"), "long-prints-met")
-    first = in_rounds(texts, size, least, "stars", DataFrame.distinct, _star_pairs, "a long, b long", "met")
+    first = in_rounds(texts, size, least, "stars", busiest, _star_pairs, "fp long, other long, met long", "met")
+    first, _ = stage(first.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct(), "stars")
     alike, _ = stage(close_prints(first, texts, angle(LOOSE)), "star-pairs")
     close = differing(least, TOLERANCE)
     links = similar(documents, alike.where(F.col("differ") <= int(PRINT_BITS * close)).select("a", "b"), least, shingle)
