@@ -16,6 +16,8 @@ import numpy as np
 
 #: Entries of each table; one takes about 200 bytes.
 MAX_PIECES = 150_000
+#: Entries of the table of units for each of those; one takes about 55 bytes.
+UNIT_SHARE = 3
 #: str.split() also splits at these, which are no white space to the library.
 _CONTROL = re.compile("[\x1c-\x1f]")
 _SAFE = re.compile("[ \t\n\r]+")
@@ -207,7 +209,7 @@ class PieceEncoder:
     def release(self) -> None:
         """Empty tables: an idle worker, which outlives its tasks, should hold none."""
         self.units: dict[str, list[int]] = {}
-        self.others, self.whole = _Store(self.max_pieces), _Units(self.max_pieces)
+        self.others, self.whole = _Store(self.max_pieces), _Units(UNIT_SHARE * self.max_pieces)
 
     def split(self, text: str) -> list[str]:
         return text.split() if not _CONTROL.search(text) else [p for p in _SAFE.split(text) if p]

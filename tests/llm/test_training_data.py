@@ -920,3 +920,12 @@ def test_passage_features_match_a_plain_version(monkeypatch):
         assert len(bucket) == size.sum() == sum(len(t.split()) for t in texts)
         scores.append(mil._scores(mil.Model.fresh(), texts))
     assert scores[0] == pytest.approx(scores[1])
+
+
+def test_units_beyond_the_bound_of_pieces_are_kept(monkeypatch):
+    encoder, calls = tokens.PieceEncoder(tokens.default_path(), 10), []
+    model = encoder.model_ids
+    monkeypatch.setattr(encoder, "model_ids", lambda unit: (calls.append(unit), model(unit))[1])
+    text = " ".join(f"word{chr(97 + k)}" for k in range(25))
+    first, again = encoder.encode([text])[0], encoder.encode([text])[0]
+    assert first.tolist() == again.tolist() and len(calls) == 25
