@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import knn, soft
+from lodestar.operators import graph, knn, soft
 
 
 def table(spark, x, parts=3):
@@ -76,3 +76,72 @@ def test_copies_tie_in_the_soft_graph(spark):
     x = np.repeat(np.random.default_rng(9).normal(size=(4, 3)), 6, axis=0)
     got = {(r["i"], r["j"]): r["d2"] for r in soft.soft_neighbours(table(spark, x), 3, 0.7).collect()}
     assert got == {(i, j): 0.0 for i in range(24) for j in range(24) if i != j and i // 6 == j // 6}
+
+
+def jobs(spark, work):
+    """What work() gives, and how many jobs it ran."""
+    spark.sparkContext.setJobGroup("counted", "")
+    try:
+        found = work()
+        return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_long_paths_take_no_rounds_of_jobs(spark):
+    n = 60
+    edges = spark.createDataFrame([(i, i + 1, 0.5 + i) for i in range(n)], "src long, dst long, weight double")
+    nodes = spark.createDataFrame([(i,) for i in [*range(n + 1), 999]], "id long")
+    rows, count = jobs(spark, lambda: graph.paths_between(edges, nodes).collect())
+    at = np.concatenate([[0], np.cumsum(0.5 + np.arange(n))])
+    want = {(i, j): abs(at[i] - at[j]) for i in range(n + 1) for j in range(n + 1)} | {(999, 999): 0.0} | {x: math.inf for i in range(n + 1) for x in ((i, 999), (999, i))}
+    assert {(r["src"], r["dst"]): r["dist"] for r in rows} == pytest.approx(want) and len(rows) == len(want)
+    assert count < 30
+    rows, count = jobs(spark, lambda: graph.ollivier_curvature(edges).collect())
+    assert len(rows) == n and count < 30
+    found = graph.shortest_paths(edges, nodes.where("id in (3, 999)")).collect()
+    assert {(r["src"], r["node"]): r["dist"] for r in found} == pytest.approx({k: v for k, v in want.items() if k[0] in (3, 999) and v < math.inf})
+    assert sum(math.isinf(r["dist"]) for r in graph.paths_between(edges.limit(0), nodes).collect()) == 62 * 61
+
+
+def test_sparse_products_with_a_hub():
+    r = np.random.default_rng(10)
+    row, column = np.concatenate([r.integers(0, 50, 200), np.full(90, 7)]), r.integers(0, 50, 290)
+    value, x = r.random(290), r.random((50, 4))
+    full, least = np.zeros((50, 50)), np.full((50, 50), np.inf)
+    np.add.at(full, (row, column), value)
+    np.minimum.at(least, (row, column), value)
+    slots = graph.Slots(row, column, value, 50)
+    assert np.allclose(slots.product(x), full @ x) and (slots.nearest(x) == np.minimum(x, (least[:, :, None] + x[None]).min(axis=1))).all()
+
+
+def test_transport_between_a_hub_and_a_leaf():
+    r = np.random.default_rng(11)
+    points, give = r.random((60, 2)), np.full(60, 1 / 60)
+    cost = np.linalg.norm(points[:, None] - points[None, :3], axis=2)
+    take = np.array([0.5, 0.25, 0.25])
+    assert graph.transport(cost, give, take) == pytest.approx(graph.transport(cost.T, take, give), abs=1e-9)
+
+
+def test_heat_kernel_shuffles_no_dense_table(spark):
+    r = np.random.default_rng(12)
+    n, a = 300, {}
+    for _ in range(1500):
+        i, j = r.integers(0, n, 2)
+        if i != j:
+            a[int(i), int(j)] = a[int(j), int(i)] = float(r.random())
+    entries = spark.createDataFrame([(i, j, v) for (i, j), v in a.items()], "i long, j long, v double")
+    before = shuffled(spark)
+    got = {(x["i"], x["j"]): x["d"] for x in soft.heat_kernel_distances(entries, spark.range(n), 1.0, 5).collect()}
+    assert shuffled(spark) - before < 600_000  # the kernel has 90,000 entries and is made in five steps
+    s = np.zeros((n, n))
+    for (i, j), v in a.items():
+        s[i, j] = v
+    scale = 1 / np.sqrt(s.sum(axis=1) + 1e-8)
+    lap = (np.diag(s.sum(axis=1)) - s) * scale[:, None] * scale[None]
+    k = term = np.eye(n)
+    for i in range(1, 6):
+        term = -term @ lap / i
+        k = k + term
+    d = ((k[:, None] - k[None]) ** 2).sum(axis=2)
+    assert len(got) == n * (n - 1) and max(abs(v - d[x]) for x, v in got.items()) < 1e-9
