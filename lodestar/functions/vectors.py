@@ -24,7 +24,8 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column, floor: float = 1e-12) -> Column:
     """v over its length, the length at least ``floor``; a null vector stays null."""
-    return F.transform(double_array(v), lambda x: x / F.greatest(norm(v), F.lit(floor)))
+    # An array of one holds the length, so it is worked out once, and not again for each coordinate.
+    return F.transform(F.array(F.greatest(norm(v), F.lit(floor))), lambda n: F.transform(double_array(v), lambda x: x / n))[0]
 
 
 def mean_vector(v: Column, dim: int) -> Column:

@@ -1,12 +1,15 @@
 """Neighbours, soft graphs, paths and kernels over several blocks, against plain versions, and what they shuffle."""
 
+import hashlib
 import math
+import re
 import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.functions import encoders, vectors
 from lodestar.operators import graph, knn, soft
 
 
@@ -145,3 +148,28 @@ def test_heat_kernel_shuffles_no_dense_table(spark):
         k = k + term
     d = ((k[:, None] - k[None]) ** 2).sum(axis=2)
     assert len(got) == n * (n - 1) and max(abs(v - d[x]) for x, v in got.items()) < 1e-9
+
+
+def test_a_long_vector_s_length_is_found_once(spark):
+    x = np.random.default_rng(13).normal(size=20_000)
+    rows = spark.createDataFrame([(0, x.tolist()), (1, None), (2, []), (3, [0.0, 0.0])], "vec_id long, v array<double>")
+    began = time.time()
+    got = {r["vec_id"]: r["u"] for r in rows.select("vec_id", vectors.l2_normalize(F.col("v")).alias("u")).collect()}
+    assert time.time() - began < 8  # the square of 20,000 takes longer
+    assert np.allclose(got[0], x / np.linalg.norm(x)) and got[1] is None and got[2] == [] and got[3] == [0.0, 0.0]
+
+
+def test_hashed_words(spark):
+    texts = ["The cat, the CAT; a2-b3", "", None, "Übung macht den Meister x", "Kelvin İstanbul naïve", "word " * 3000, "--- !!"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lower = {r["doc_id"]: r["t"] for r in rows.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t")).collect()}
+    got = {r["vec_id"]: np.array(r["embedding"]) for r in encoders.encode_corpus(encoders.HashingEncoder(dim=32), rows).collect()}
+    raw = {r["doc_id"]: r for r in encoders.HashingEncoder(dim=32, normalize=False).encode(rows).collect()}
+    for i, text in enumerate(texts):
+        want = np.zeros(32)
+        for word in re.split("[^a-z0-9]+", lower[i]):
+            if word:
+                digest = hashlib.md5(word.encode()).hexdigest()
+                want[int(digest[:8], 16) % 32] += 1 - 2 * (int(digest[8], 16) % 2)
+        assert raw[i]["embedding"] == want.tolist() and raw[i]["text"] == text
+        assert np.allclose(got[i], want / max(np.linalg.norm(want), 1e-12), rtol=1e-15)
